@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.idfile import id_file_round_trip
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
+from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.suffix import repeated_passages
 from gridloom.llm.tokens import public_path
 
 
@@ -24,12 +26,27 @@ def op3_token_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_file_round_trip(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_token_id_file, op9_rendezvous_sharding)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_token_id_file,
+        op5_suffix_array_dedup,
+        op6_simhash_near_dedup,
+        op9_rendezvous_sharding,
+    )
 }
 
 #: Only what SQL can express over whole tables.
