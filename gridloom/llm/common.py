@@ -69,3 +69,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def byte_values() -> np.ndarray:
     """A 64-bit value for each byte, made from a rule."""
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of every word of lines whose words are separated by single spaces; all lines at once."""
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    ends_line = data == 10
+    gap = ends_line | (data == 32)
+    start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    if not len(start):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    end = np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1
+    size = end - start
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    power = np.cumprod(np.full(int(size.max()), np.uint64(0x9FB21C651E98DF25)))
+    terms = byte_values()[data[~gap]] * power[inside]
+    sums = np.add.reduceat(terms, np.cumsum(size) - size)
+    line = np.cumsum(ends_line)[start]
+    return mix64(sums + size.astype(np.uint64)), line
+
+
+def shingle_hashes_of(word: np.ndarray, line: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of every run of ``words`` words in one line."""
+    n = len(word) - words + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    for k in range(words):
+        total = total * np.uint64(0xC2B2AE3D27D4EB4F) + word[k : k + n]
+    same = line[:n] == line[words - 1 :]
+    return mix64(total)[same], line[:n][same]
+
+
+def text_chunks(texts, limit: int = 8 << 20):
+    """(first, last) index of runs of texts of at most about ``limit`` characters, so that arrays stay small."""
+    at, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= limit:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)

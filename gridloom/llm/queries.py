@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.idfile import id_file_round_trip
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
@@ -34,6 +35,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_id_file,
         op5_suffix_array_dedup,
         op6_simhash_near_dedup,
+        op8_benchmark_decontamination,
         op9_rendezvous_sharding,
     )
 }
