@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.idfile import id_file_round_trip
+from gridloom.llm.linededup import dedup_lines
 from gridloom.llm.packing import pack_documents
+from gridloom.llm.quality import score_quality
 from gridloom.llm.sharding import shard_documents
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.suffix import repeated_passages
@@ -23,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_file_round_trip(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
@@ -43,15 +49,21 @@ def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_quality_classifier,
         op3_token_id_file,
         op5_suffix_array_dedup,
         op6_simhash_near_dedup,
         op8_benchmark_decontamination,
         op9_rendezvous_sharding,
+        op10_line_dedup,
     )
 }
 
