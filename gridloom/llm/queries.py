@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.covertree import top_k
 from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.idfile import id_file_round_trip
 from gridloom.llm.linededup import dedup_lines
@@ -41,6 +42,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_id_file,
         op5_suffix_array_dedup,
         op6_simhash_near_dedup,
+        op7_exact_top_k,
         op8_benchmark_decontamination,
         op9_rendezvous_sharding,
         op10_line_dedup,
