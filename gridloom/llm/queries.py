@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.covertree import top_k
 from gridloom.llm.decontaminate import contaminated
+from gridloom.llm.html_text import extract_text
 from gridloom.llm.idfile import id_file_round_trip
 from gridloom.llm.linededup import dedup_lines
 from gridloom.llm.packing import pack_documents
@@ -34,6 +35,10 @@ def op3_token_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_file_round_trip(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing,
         op2_quality_classifier,
         op3_token_id_file,
+        op4_html_extraction,
         op5_suffix_array_dedup,
         op6_simhash_near_dedup,
         op7_exact_top_k,
