@@ -363,21 +363,27 @@ def dedup_lines(df: DataFrame, t: float = 0.8, id_col: str = "doc_id", text_col:
     it is and is no source for others. A null text has no lines, an empty one has a single line without words.
     An empty table gives an empty result; other columns are ignored.
     """
-    raw = df.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
+    return lines_removed(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), t).select(
+        "doc_id", "text", "n_lines", "n_removed"
     )
-    docs = raw.withColumn("tkey", F.xxhash64("text"))
-    sources = docs.filter("doc_id is not null and text is not null")
+
+
+def lines_removed(df: DataFrame, t: float = 0.8) -> DataFrame:
+    """All rows of ``df`` (doc_id, text and any others, none of them called n_lines or n_removed) with the text that
+    stays and the two counts."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    docs = df.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("tkey", F.xxhash64("text"))
+    sources = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "tkey")
     gone = duplicate_lines(sources, t).groupBy("doc_id", "tkey").agg(F.collect_list("line").alias("gone"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(
         F.arrays_zip(lines.alias("t"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")),
         lambda x: ~F.array_contains("gone", x["i"]),
     )
-    untouched = F.col("gone").isNull()
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))
     return docs.join(gone, ["doc_id", "tkey"], "left").select(
-        "doc_id",
-        F.when(untouched, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["t"]), "\n")).alias("text"),
+        *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in df.columns),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -24,7 +24,6 @@ _FUNCTION_WORDS = {
     "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein",
 }
 _PUNCT_RUN = re.compile(r"[^\w\s]{2,}")
-_LETTERS = bytes(1 if chr(b).isalpha() and b < 128 or b >= 0x80 else 0 for b in range(256))
 
 FEATURES = [
     "log_bytes", "log_words", "log_lines", "word_length", "word_length_spread", "longest_word", "letters", "upper",
@@ -226,3 +225,15 @@ def score_quality(
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.withColumn("key", F.col("doc_id").cast("string"))
     return keyed.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``df`` (doc_id, text and any others) that score ``threshold`` or more, in one pass and unchanged."""
+    forest = _train(select_text(df, "doc_id", "text"), labels, "quality", train_rows)
+
+    def run(batches):
+        for pdf in batches:
+            x = np.array([statistics(t or "") for t in pdf["text"]]).reshape(-1, len(FEATURES))
+            yield pdf[forest.score(x) >= threshold]
+
+    return df.mapInPandas(run, df.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import select_text, settle, shuffle_width
+from gridloom.llm.common import select_text, settle, shingle_hashes_of, shuffle_width, text_chunks, word_hashes
 from gridloom.llm.components import connected_components
 
 #: Bytes, not characters, are matched: only these separate words.
@@ -248,19 +249,64 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     return tasks.mapInPandas(join, "a long, b long")
 
 
+def _verified(links: DataFrame, classes: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links whose first documents' sets of ``words``-word shingles have that Jaccard similarity or more."""
+    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    wanted = classes.join(ends, "fp").select("fp", F.col("least").alias("doc_id"))
+
+    def run(batches):
+        for pdf in batches:
+            texts, sets = pdf["text"].tolist(), []
+            for lo, hi in text_chunks(texts):
+                lines = [" ".join(t.lower().split()) for t in texts[lo:hi]]
+                short = [x if x.count(" ") < words - 1 else "" for x in lines]
+                shingle, line = shingle_hashes_of(*word_hashes(lines), words)
+                edges = np.searchsorted(line, np.arange(len(lines) + 1))
+                for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    # a text of fewer words is one shingle
+                    own = np.unique(shingle[a:b]) if b > a else np.array([zlib.crc32(short[i].encode())], np.uint64)
+                    sets.append(own.tobytes())
+            yield pd.DataFrame({"fp": pdf["fp"], "set": sets})
+
+    texts = df.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("fp", "text")
+    sets = texts.mapInPandas(run, "fp long, set binary")
+    both = links.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+
+    def compare(batches):
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return both.mapInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
-    df: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    words: int = 4,
+    budget: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float | None = None,
+    similar_words: int = 5,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id that links of at most ``budget``
     differing bits lead to, itself included.
 
     A text without words (null, empty, spaces only) has fingerprint zero and is linked like any other. A row with a
     null doc_id gets its component like any other and is not a candidate for its id. Repeated rows share one
-    fingerprint and so one component. An empty table gives an empty result; other columns are ignored.
+    fingerprint and so one component. With ``similarity`` a link of different fingerprints also needs that Jaccard
+    similarity of the ``similar_words``-word shingle sets, so that chance links of a very large corpus don't count;
+    then only links that the join returns are verified, which in a dense group need not be all. An empty table gives an empty result; other columns are ignored.
     """
     docs = settle(fingerprints(df, words, id_col, text_col), "fingerprints")
     classes = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links = fingerprint_links(classes.select("fp"), budget)
+    if similarity is not None:
+        links = _verified(settle(links.distinct(), "found"), classes, select_text(df, id_col, text_col), similar_words, similarity)
     components = settle(connected_components(links), "components")
     labelled = classes.join(components, classes["fp"] == components["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
