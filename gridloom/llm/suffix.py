@@ -15,14 +15,17 @@ import pickle
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import byte_values, mix64, shuffle_width
+from gridloom.llm.common import byte_values, mix64, settle, shuffle_width, text_chunks
 
 GRAM = 16
 #: Bytes of text for each bucket, from which the number of buckets follows.
 BUCKET_TEXT = 3 << 20
+#: Bytes of text in one chunk of documents.
+CHUNK = 6 << 20
 #: Passages of one batch in the index family.
 BATCH = 1 << 15
 #: Anchors that hold more than this share of a sample are dealt by whole passage instead, so there are at most 1/share.
@@ -189,19 +192,132 @@ def _hot_anchors(docs: DataFrame, width: int) -> np.ndarray:
     def sample(batches):
         for pdf in batches:
             raw = [t.encode() for t in pdf["text"]]
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            _, _, doc, key = stretches(data, np.cumsum([0] + [len(r) for r in raw]), width)
-            pair = np.unique(np.stack([doc.astype(np.uint64), key]), axis=1)
-            found, n = np.unique(pair[1], return_counts=True)
-            yield pd.DataFrame({"key": found.view(np.int64), "n": n, "total": n})
-
-    sampled = docs.filter(F.pmod(F.xxhash64("tkey", F.lit(1)), F.lit(64)) == 0)
-    counted = sampled.mapInPandas(sample, "key long, n long, total long").groupBy("key").agg(F.sum("n").alias("n"))
+            for lo, hi in text_chunks(raw, CHUNK):
+                data = np.frombuffer(b"".join(raw[lo:hi]), np.uint8)
+                _, _, doc, key = stretches(data, np.cumsum([0] + [len(r) for r in raw[lo:hi]]), width)
+                pair = np.unique(np.stack([doc.astype(np.uint64), key]), axis=1)
+                found, n = np.unique(pair[1], return_counts=True)
+                yield pd.DataFrame({"key": found.view(np.int64), "n": n})
+
+    sampled = docs.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(64)) == 0)
+    counted = sampled.mapInPandas(sample, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = counted.filter(F.col("n") > max(8, total * HOT_SHARE)).collect()  # fewer than 1 / HOT_SHARE
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, payload): runs of documents as they were read, of about CHUNK bytes, written once."""
+
+    def run(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            pdf = pdf.sort_values("doc_id", kind="stable", na_position="last")
+            raw = [t.encode() for t in pdf["text"]]
+            known = pdf["doc_id"].notna().to_numpy()
+            ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
+            for lo, hi in text_chunks(raw, CHUNK):
+                sizes = np.array([len(r) for r in raw[lo:hi]], np.int64)
+                payload = _pack(ids[lo:hi], known[lo:hi], sizes, np.frombuffer(b"".join(raw[lo:hi]), np.uint8))
+                yield pd.DataFrame({"chunk": [(part << 32) + number], "payload": [payload]})
+                number += 1
+
+    return settle(docs.mapInPandas(run, "chunk long, payload binary"), "chunks")
+
+
+class _Scan:
+    """The stretches of a chunk. It gives the same for the same chunk, so an answer can name them by their order."""
+
+    def __init__(self, payload: bytes, width: int, hot: np.ndarray, buckets: int):
+        self.ids, self.known, sizes, self.data = _unpack(payload)
+        self.offsets = np.cumsum(np.r_[0, sizes])
+        start, end, doc, key = stretches(self.data, self.offsets, width)
+        own = self.known[doc]
+        start, end, doc, key = start[own], end[own], doc[own], key[own]
+        hash_of = _Prefix(self.data)
+        if len(hot) and len(key):
+            is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            which, single = _spread(start[is_hot], end[is_hot], width)
+            doc = np.r_[doc[~is_hot], doc[is_hot][which]]
+            start, end = np.r_[start[~is_hot], single], np.r_[end[~is_hot], single + width]
+            key = np.r_[key[~is_hot], hash_of(single, single + width)]
+            order = np.lexsort((start, doc))
+            start, end, doc, key = start[order], end[order], doc[order], key[order]
+        self.start, self.end, self.doc, self.key = start, end, doc, key
+        self.whole = hash_of(start, end)
+        # a stretch that a smaller document of this chunk has goes without asking; the rest must meet other chunks
+        self.later = self.ids[doc] > self.ids[doc[_first_by(self.whole)]]
+        self.bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
+
+    def by_bucket(self, chosen: np.ndarray):
+        """(bucket, indices) of the chosen stretches, each bucket's in their order."""
+        at = np.flatnonzero(chosen)
+        at = at[np.argsort(self.bucket[at], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, np.diff(self.bucket[at]) > 0]) if len(at) else []
+        for a, b in zip(edges, [*edges[1:], len(at)], strict=False):
+            yield int(self.bucket[at[a]]), at[a:b]
+
+
+def _least_and_most(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each group whether it has more than one value."""
+    n = int(group.max(initial=-1)) + 1
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, value)
+    np.maximum.at(most, group, value)
+    return least < most
+
+
+def _first_of(mark: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each element the one with its mark and the smallest id."""
+    order = np.argsort(ids, kind="stable")
+    first = np.empty(len(order), np.int64)
+    first[order] = order[_first_by(mark[order])]
+    return first
+
+
+def _verdicts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of hashed stretches: 1 where a smaller document has the whole stretch, 2 where its passages need a
+    look because the anchor has different stretches in several documents, else 0."""
+    parts = [_unpack(p) for p in pdf["payload"]]
+    ids = np.concatenate([p[0][np.cumsum(p[1])] for p in parts])
+    key, whole, more = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+    mark = mix64((whole.astype(np.uint64) << np.uint64(32) | key) + more.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    first = _first_of(mark, ids)
+    known = ids > ids[first]
+    _, group = np.unique(key, return_inverse=True)
+    lone = first == np.arange(len(first))
+    several = np.bincount(group[lone], minlength=group.max(initial=-1) + 1) > 1
+    look = ~known & (several & _least_and_most(group, ids))[group]
+    verdict = np.where(known, 1, np.where(look, 2, 0)).astype(np.uint8)
+    ends = np.cumsum([len(p[1]) for p in parts])
+    return pd.DataFrame(
+        {
+            "chunk": pdf["chunk"].to_numpy(),
+            "bucket": pdf["bucket"].to_numpy(),
+            "verdict": [_pack(verdict[e - len(p[1]) : e]) for e, p in zip(ends, parts, strict=True)],
+        }
+    )
+
+
+def _passages(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+    """One bucket of stretches as bytes: their passages go through the index family in ascending order of documents."""
+    parts = [_unpack(p) for p in pdf["payload"]]
+    ids, at, n, data = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), [len(p[0]) for p in parts])
+    size = n.astype(np.int64) + width
+    begin = np.cumsum(size) - size
+    order = np.argsort(ids, kind="stable")
+    which, single = _spread(begin[order], (begin + size)[order], width)
+    which = order[which]
+    hit = seen_before(data, single, ids[which], width)
+    which, place = which[hit], (single - begin[which])[hit] + at[which[hit]]
+    out = []
+    for c in np.unique(chunk[which]):
+        own = chunk[which] == c
+        out.append((c, _pack(place[own].astype(np.uint32), np.zeros(int(own.sum()), np.uint8))))
+    return pd.DataFrame(out, columns=["chunk", "found"])
+
+
 def repeated_passages(
     df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False
 ) -> DataFrame:
@@ -211,156 +327,103 @@ def repeated_passages(
     n_spans (maximal removed runs), kept_sha256 and, if asked, kept (the remaining bytes). A null text is empty. Rows
     with a null id are returned whole and are no source for others. Rows with equal ids are one document here: they
     don't match each other. An empty table gives an empty result; other columns are ignored.
+
+    Documents are written in chunks. Chunks send hashes of their stretches to the buckets of the anchors, which tell
+    them which stretches a smaller document has whole and which need a look; the bytes of these few then go to the
+    buckets for the passage-wise search. All that meets in a bucket is one entry for each chunk and different stretch,
+    and anchors that very many documents have are dealt by passage.
     """
-    spark = df.sparkSession
     docs = df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("tkey", F.xxhash64("text"))
+    )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_width(spark), size // BUCKET_TEXT)
+    buckets = max(shuffle_width(df.sparkSession), size // BUCKET_TEXT)
     hot = _hot_anchors(docs, width)
+    chunks = _chunks(docs)
 
-    def cut(batches):
+    def ask(batches):
         for pdf in batches:
-            pdf = pdf[pdf["doc_id"].notna() & (pdf["text"].str.len() > 0)].sort_values("doc_id", kind="stable")
-            at, raw = 0, [t.encode() for t in pdf["text"]]
-            ids, keys = pdf["doc_id"].to_numpy(np.int64), pdf["tkey"].to_numpy(np.int64)
-            sizes = np.cumsum([0] + [len(r) for r in raw])
-            while at < len(raw):
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (16 << 20), "right")) - 1)
-                yield from _cut(raw[at:to], ids[at:to], keys[at:to])
-                at = to
-
-    def _cut(raw, ids, keys):
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        offsets = np.cumsum([0] + [len(r) for r in raw])
-        start, end, doc, key = stretches(data, offsets, width)
-        if not len(start):
-            return
-        hash_of = _Prefix(data)
-        if len(hot):
-            is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-            which, single = _spread(start[is_hot], end[is_hot], width)
-            doc = np.r_[doc[~is_hot], doc[is_hot][which]]
-            start, end = np.r_[start[~is_hot], single], np.r_[end[~is_hot], single + width]
-            own = hash_of(single, single + width)
-            key = np.r_[key[~is_hot], own]
-            order = np.lexsort((start, doc))
-            start, end, doc, key = start[order], end[order], doc[order], key[order]
-        whole = hash_of(start, end)
-        # a stretch that an earlier document of this batch has is known to go; the rest must meet other batches
-        first = _first_by(whole)
-        later = ids[doc] > ids[doc[first]]
-        bucket = np.where(later, mix64(whole), mix64(key)) % np.uint64(buckets)
-        order = np.lexsort((doc, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-        out = []
-        for b in range(buckets):
-            own = order[edges[b] : edges[b + 1]]
-            if not len(own):
-                continue
-            gone, sent = own[later[own]], own[~later[own]]
-            local, doc_of = np.unique(doc[own], return_inverse=True)
-            is_gone = later[own]
-            place = start[own] - offsets[doc[own]]
-            out.append(
-                (
-                    b,
-                    _pack(
-                        ids[local],
-                        keys[local],
-                        doc_of[is_gone].astype(np.int32),
-                        place[is_gone].astype(np.uint32),
-                        (end[gone] - start[gone] - width).astype(np.uint8),
-                        doc_of[~is_gone].astype(np.int32),
-                        place[~is_gone].astype(np.uint32),
-                        (end[sent] - start[sent] - width).astype(np.uint8),
-                        key[sent],
-                        whole[sent],
-                        _gather(data, start[sent], end[sent]),
-                    ),
-                )
-            )
-        yield pd.DataFrame(out, columns=["bucket", "payload"])
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(p) for p in pdf["payload"]]
-        ids = np.concatenate([p[0] for p in parts])
-        keys = np.concatenate([p[1] for p in parts])
-        base = np.cumsum([0] + [len(p[0]) for p in parts])[:-1]
-        gone_doc = np.concatenate([p[2] + b for p, b in zip(parts, base, strict=True)])
-        doc = np.concatenate([p[5] + b for p, b in zip(parts, base, strict=True)])
-        gone_at, gone_n, at, n, key, whole, data = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 6, 7, 8, 9, 10))
-        size = n.astype(np.int64) + width
-        begin = np.cumsum(size) - size
-        # whole stretches first: what a smaller document has as it is needs no closer look
-        order = np.lexsort((at, ids[doc]))
-        first = np.empty(len(order), np.int64)
-        first[order] = order[_first_by(whole[order])]
-        known = ids[doc] > ids[doc[first]]
-        # then passages, where an anchor has several different stretches; one copy of each is enough
-        _, group = np.unique(key, return_inverse=True)
-        lone = first == np.arange(len(first))
-        several = np.bincount(group[lone], minlength=group.max(initial=0) + 1)[group] > 1
-        many = np.zeros(group.max(initial=0) + 1, bool)
-        if len(group):
-            least = np.full(len(many), np.iinfo(np.int64).max)
-            most = np.full(len(many), np.iinfo(np.int64).min)
-            np.minimum.at(least, group, ids[doc])
-            np.maximum.at(most, group, ids[doc])
-            many = least < most
-        look = np.flatnonzero(several & ~known & many[group])
-        look = look[np.argsort(ids[doc[look]], kind="stable")]
-        which, single = _spread(begin[look], begin[look] + size[look], width)
-        hit = seen_before(data, single, ids[doc[look[which]]], width)
-        out_doc = np.concatenate([gone_doc, doc[known], doc[look[which[hit]]]])
-        out_at = np.concatenate([gone_at, at[known], at[look[which[hit]]] + (single - begin[look[which]])[hit]])
-        out_n = np.concatenate([gone_n, n[known], np.zeros(int(hit.sum()), np.uint8)])
-        order = np.argsort(out_doc, kind="stable")
-        out_doc, out_at, out_n = out_doc[order], out_at[order].astype(np.uint32), out_n[order]
-        edges = np.r_[np.flatnonzero(np.r_[True, out_doc[1:] != out_doc[:-1]]), len(out_doc)] if len(out_doc) else [0]
-        return pd.DataFrame(
-            {
-                "doc_id": ids[out_doc[edges[:-1]]] if len(out_doc) else np.empty(0, np.int64),
-                "tkey": keys[out_doc[edges[:-1]]] if len(out_doc) else np.empty(0, np.int64),
-                "found": [
-                    out_at[a:b].tobytes() + out_n[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)
-                ],
-            }
-        )
+            for chunk, payload in zip(pdf["chunk"], pdf["payload"], strict=True):
+                scan, out = _Scan(payload, width, hot, buckets), []
+                for bucket, at in scan.by_bucket(~scan.later):
+                    doc, whole = scan.doc[at], scan.whole[at]
+                    local, index = np.unique(doc, return_inverse=True)
+                    out.append(
+                        (
+                            bucket,
+                            chunk,
+                            _pack(
+                                scan.ids[local],
+                                np.diff(index, prepend=0).astype(np.uint8),  # documents in order, so steps of 0 or 1
+                                scan.key[at].astype(np.uint32),
+                                whole.astype(np.uint32),
+                                (whole >> np.uint64(32)).astype(np.uint8),
+                            ),
+                        )
+                    )
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "payload"])
+
+    verdicts = (
+        chunks.mapInPandas(ask, "bucket int, chunk long, payload binary")
+        .groupBy("bucket")
+        .applyInPandas(_verdicts, "chunk long, bucket int, verdict binary")
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("bucket", "verdict")).alias("verdicts"))
+    )
 
+    def answer(batches):
+        for pdf in batches:
+            for chunk, payload, verdicts in zip(pdf["chunk"], pdf["payload"], pdf["verdicts"], strict=True):
+                scan, out = _Scan(payload, width, hot, buckets), []
+                by = {v["bucket"]: v["verdict"] for v in verdicts}
+                verdict = scan.later.astype(np.uint8)
+                for bucket, at in scan.by_bucket(~scan.later):
+                    verdict[at] = _unpack(by[bucket])[0]
+                gone = verdict == 1
+                n = (scan.end - scan.start - width).astype(np.uint8)
+                out.append((-1, chunk, _pack(scan.start[gone].astype(np.uint32), n[gone])))
+                for bucket, at in scan.by_bucket(verdict == 2):
+                    start, end = scan.start[at], scan.end[at]
+                    out.append(
+                        (bucket, chunk, _pack(scan.ids[scan.doc[at]], start, n[at], _gather(scan.data, start, end)))
+                    )
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "payload"])
+
+    asked = chunks.join(verdicts, "chunk").mapInPandas(answer, "bucket int, chunk long, payload binary")
+    asked = settle(asked, "passages")
+    searched = asked.filter("bucket >= 0").groupBy("bucket").applyInPandas(
+        lambda pdf: _passages(pdf, width), "chunk long, found binary"
+    )
     found = (
-        docs.mapInPandas(cut, "bucket int, payload binary")
-        .groupBy("bucket")
-        .applyInPandas(judge, "doc_id long, tkey long, found binary")
-        .groupBy("doc_id", "tkey")
+        asked.filter("bucket < 0")
+        .select("chunk", F.col("payload").alias("found"))
+        .unionByName(searched)
+        .groupBy("chunk")
         .agg(F.collect_list("found").alias("found"))
     )
 
     def remove(batches):
         for pdf in batches:
-            rows = []
-            for text, found in zip(pdf["text"], pdf["found"], strict=True):
-                raw = text.encode()
-                if found is None or not len(found):
-                    rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw))
-                    continue
-                delta = np.zeros(len(raw) + 1, np.int32)
-                for f in found:
-                    k = len(f) // 5
-                    start = np.frombuffer(f, np.uint32, k).astype(np.int64)
-                    more = np.frombuffer(f, np.uint8, k, 4 * k)
-                    np.add.at(delta, start, 1)
-                    np.add.at(delta, start + more + width, -1)
+            for payload, found in zip(pdf["payload"], pdf["found"], strict=True):
+                ids, known, sizes, data = _unpack(payload)
+                delta = np.zeros(len(data) + 1, np.int32)
+                for f in found if found is not None else ():
+                    start, n = _unpack(f)
+                    np.add.at(delta, start.astype(np.int64), 1)
+                    np.add.at(delta, start.astype(np.int64) + n + width, -1)
                 gone = np.cumsum(delta[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out if with_kept else out.drop(columns="kept")
+                rows, at = [], 0
+                for k in sizes.tolist():
+                    own, text = gone[at : at + k], data[at : at + k]
+                    at += k
+                    kept = text[~own].tobytes()
+                    spans = int((own & ~np.r_[False, own[:-1]]).sum())
+                    rows.append((k, int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+                out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.insert(0, "doc_id", pd.array(np.where(known, ids, 0), "Int64"))
+                out.loc[~known, "doc_id"] = pd.NA
+                yield out if with_kept else out.drop(columns="kept")
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    joined = docs.join(found, ["doc_id", "tkey"], "left").select("doc_id", "text", "found")
-    return joined.mapInPandas(remove, schema)
+    return chunks.join(found, "chunk", "left").select("payload", "found").mapInPandas(remove, schema)
