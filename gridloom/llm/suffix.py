@@ -155,10 +155,10 @@ def seen_before(data: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int
 # --- on Spark ----------------------------------------------------------------------------------------------------
 
 
-def _pack(*arrays) -> bytes:
+def _pack(*arrays, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(data: bytes):
@@ -218,7 +218,8 @@ def _chunks(docs: DataFrame) -> DataFrame:
             ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
             for lo, hi in text_chunks(raw, CHUNK):
                 sizes = np.array([len(r) for r in raw[lo:hi]], np.int64)
-                payload = _pack(ids[lo:hi], known[lo:hi], sizes, np.frombuffer(b"".join(raw[lo:hi]), np.uint8))
+                # chunks are written once and moved twice, so smaller ones are worth the time
+                payload = _pack(ids[lo:hi], known[lo:hi], sizes, np.frombuffer(b"".join(raw[lo:hi]), np.uint8), level=6)
                 yield pd.DataFrame({"chunk": [(part << 32) + number], "payload": [payload]})
                 number += 1
 
