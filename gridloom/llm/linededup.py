@@ -13,11 +13,12 @@ from gridloom.llm.common import mix64, settle, shuffle_width, text_chunks, word_
 
 #: Cells that count tokens; tokens in one cell share a count, which affects their order and so the cost, not the result.
 CELL_BITS = 23
+#: Bits of a token's hash; the other bits of a word hold the line.
+TOKEN_BITS = 41
+MOST_LINES = 1 << 22
 SEGMENTS = 16
 #: Text for each bucket of tokens, from which the number of buckets follows.
 BUCKET_TEXT = 6 << 20
-#: Partners of a line that one token's group puts forward at first; a line that none of them matches gets all of them.
-FIRST_PARTNERS = 8
 
 
 def _pack(*arrays) -> bytes:
@@ -36,21 +37,32 @@ def _unpack(data: bytes):
 
 
 def line_tokens(texts: list[str]):
-    """(document, line, token hash), distinct and sorted, of lower-cased words between white space."""
+    """(document, line, token hash of TOKEN_BITS), distinct and sorted, of lower-cased words between white space."""
     lines, doc, number = [], [], []
     for i, text in enumerate(texts):
         own = text.lower().split("\n")
         lines += [" ".join(x.split()) for x in own]
         doc += [i] * len(own)
         number += range(len(own))
-    token, line = word_hashes(lines)
-    order = np.lexsort((token, line))
-    token, line = token[order], line[order]
-    new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])] if len(token) else np.empty(0, bool)
-    token, line = token[new], line[new]
+    if len(lines) > MOST_LINES:  # a text of very many lines, in parts
+        parts = [_line_sets(lines[i : i + MOST_LINES]) for i in range(0, len(lines), MOST_LINES)]
+        line = np.concatenate([own + i * MOST_LINES for i, (own, _) in enumerate(parts)])
+        token = np.concatenate([t for _, t in parts])
+    else:
+        line, token = _line_sets(lines)
     return np.array(doc, np.int64)[line], np.array(number, np.int64)[line], token
 
 
+def _line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, token), distinct and in order."""
+    token, line = word_hashes(lines)
+    # line and the hash's top bits in one number, so that one plain sort puts them in order and finds repeats
+    both = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (token >> np.uint64(64 - TOKEN_BITS)))
+    if len(both):
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+    return (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << TOKEN_BITS) - 1)
+
+
 def _groups(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Where each line's tokens begin, and the end."""
     if not len(doc):
@@ -84,7 +96,7 @@ def _token_levels(docs: DataFrame) -> np.ndarray:
             texts = pdf["text"].tolist()
             for lo, hi in text_chunks(texts):
                 _, _, token = line_tokens(texts[lo:hi])
-                found, n = np.unique((token >> np.uint64(64 - CELL_BITS)).astype(np.int64), return_counts=True)
+                found, n = np.unique((token >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64), return_counts=True)
                 cells, at = np.unique(np.r_[cells, found], return_inverse=True)
                 counts = np.bincount(at, np.r_[counts, n]).astype(np.int64)
         edges = np.searchsorted(cells, np.arange(SEGMENTS + 1) * span)
@@ -121,7 +133,7 @@ def _bits(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 _PAIRS = (
     "kind int, bucket int, doc_id long, tkey long, line int, set long, "
-    "other_doc long, other_tkey long, other_line int, other_set long, more boolean"
+    "other_doc long, other_tkey long, other_line int, other_set long, spare int, more boolean"
 )
 _PAIR_COLUMNS = [x.split()[0] for x in _PAIRS.split(", ")]
 
@@ -129,7 +141,8 @@ _PAIR_COLUMNS = [x.split()[0] for x in _PAIRS.split(", ")]
 def _partners(pdf: pd.DataFrame, t: float, only: np.ndarray | None) -> pd.DataFrame:
     """One bucket: lines that equal an earlier one (kind 0) and pairs that may be similar (kind 1).
 
-    ``only``: the sets whose partners are all wanted; otherwise all sets, with FIRST_PARTNERS for each token.
+    ``only``: the sets whose partners are all wanted; otherwise all sets, each with its likeliest partner for a token
+    (``spare``: common tokens that it may lack and still be similar) and whether there are more.
     """
     parts = [_unpack(p) for p in pdf["payload"]]
     base = np.cumsum([0] + [len(p[0]) for p in parts])[:-1]
@@ -176,50 +189,34 @@ def _partners(pdf: pd.DataFrame, t: float, only: np.ndarray | None) -> pd.DataFr
         if only is not None:
             ok = np.isin(sets[b], only)
             a, b, most = a[ok], b[ok], most[ok]
-        found.append((a, b, most))
-        if only is None and sum(len(f[0]) for f in found) > 1 << 22:
-            found = [_best(found, token, earlier)[:3]]
-    more = np.zeros(0, bool)
-    if found:
-        a, b, most = (np.concatenate(c) for c in zip(*found, strict=True))
+        found.append((a, b, most, np.zeros(len(a), bool)))
         if only is None:
-            full = _counts(b) > FIRST_PARTNERS
-            a, b, most, keep = _best([(a, b, most)], token, earlier)
-            more = full[keep]
-        else:
-            more = np.zeros(len(a), bool)
-    else:
-        a = b = np.empty(0, np.int64)
-    kinds, rows = [(1, doc[b], line[b], sets[b], doc[a], line[a], sets[a], more)], []
+            found = [_best(found, earlier)]
+    a, b, most, more = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+    kinds, rows = [(1, doc[b], line[b], sets[b], doc[a], line[a], sets[a], most, more.astype(bool))], []
     if only is None:
         none = np.zeros(len(gone_doc) + len(equal), np.int64)
         d, ln = np.r_[gone_doc, doc[equal]], np.r_[gone_line, line[equal]]
-        kinds.append((0, d, ln, none.view(np.uint64), d, ln, none.view(np.uint64), none.astype(bool)))
-    for kind, d, ln, own, other, other_line, other_set, flag in kinds:
+        kinds.append((0, d, ln, none.view(np.uint64), d, ln, none.view(np.uint64), none, none.astype(bool)))
+    for kind, d, ln, own, other, other_line, other_set, spare, flag in kinds:
         values = (
             *(np.full(len(d), x) for x in (kind, int(pdf["bucket"].iloc[0]))),
             *(ids[d], keys[d], ln, own.view(np.int64)),
-            *(ids[other], keys[other], other_line, other_set.view(np.int64), flag),
+            *(ids[other], keys[other], other_line, other_set.view(np.int64), spare, flag),
         )
         rows.append(pd.DataFrame(dict(zip(_PAIR_COLUMNS, values, strict=True))))
     return pd.concat(rows)
 
 
-def _counts(b: np.ndarray) -> np.ndarray:
-    """How often each posting occurs in b. A cut list was longer than FIRST_PARTNERS and still is."""
-    _, at, n = np.unique(b, return_inverse=True, return_counts=True)
-    return n[at]
-
-
-def _best(found, token: np.ndarray, earlier: np.ndarray):
-    """For each later posting one partner more than FIRST_PARTNERS: those with most room to spare, then the earliest."""
-    a, b, most = (np.concatenate(c) for c in zip(*found, strict=True))
+def _best(found, earlier: np.ndarray):
+    """For each later posting the partner with most tokens to spare, then the earliest, and whether there are others."""
+    a, b, most, more = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((earlier[a], -most, b))
-    new = np.r_[True, b[order][1:] != b[order][:-1]] if len(b) else np.empty(0, bool)
-    begin = np.flatnonzero(new)
-    place = np.arange(len(b)) - np.repeat(begin, np.diff(np.r_[begin, len(b)]))
-    keep = order[place <= FIRST_PARTNERS]
-    return a[keep], b[keep], most[keep], keep
+    a, b, most, more = a[order], b[order], most[order], more[order]
+    begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, np.int64)
+    several = np.diff(np.r_[begin, len(b)]) > 1
+    more = np.logical_or.reduceat(more, begin) if len(b) else more
+    return a[begin], b[begin], most[begin], more | several
 
 
 def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
@@ -251,14 +248,16 @@ def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
         gone = ~same_row
         rep = np.arange(len(n)) == lead
         # tokens of each line from rare to frequent
-        level = levels.value[(token >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+        level = levels.value[(token >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64)]
         which = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((token, level, which))
+        keys_of = (which.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (level.astype(np.uint64) << np.uint64(TOKEN_BITS - 6))
+        ordered = np.sort(keys_of | (token >> np.uint64(6)))
+        level, token = (ordered >> np.uint64(TOKEN_BITS - 6)) & np.uint64(63), ordered & np.uint64((1 << (TOKEN_BITS - 6)) - 1)
         pos = np.arange(len(token)) - np.repeat(begin[:-1], n)
         chosen = (pos < np.repeat(prefix_size(n, t), n)) & rep[which]
         # a cell with a single line holds a token that no other line has
-        chosen &= level[order] > 1
-        token, which, pos = token[order][chosen], which[chosen], pos[chosen]
+        chosen &= level > 1
+        token, which, pos = token[chosen], which[chosen], pos[chosen]
         new = np.r_[True, which[1:] != which[:-1]] if len(which) else np.empty(0, bool)
         bucket = (mix64(token) % np.uint64(buckets)).astype(np.int64)
         gone = np.flatnonzero(gone)
@@ -291,28 +290,36 @@ def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
         yield pd.DataFrame(out, columns=["bucket", "payload"])
 
     postings = settle(docs.mapInPandas(post, "bucket int, payload binary"), "postings")
-    pairs = settle(
-        postings.groupBy("bucket").applyInPandas(lambda pdf: _partners(pdf, t, None), _PAIRS).distinct(), "partners"
-    )
+    pairs = settle(postings.groupBy("bucket").applyInPandas(lambda pdf: _partners(pdf, t, None), _PAIRS), "partners")
     gone = pairs.filter("kind = 0").select("doc_id", "tkey", "line")
-    similar = settle(_similar(pairs.filter("kind = 1"), docs, t), "similar")
-    # lines that no partner put forward matches, though there are more partners: now against all of them
-    found = similar.select("set").distinct()
-    open_ = pairs.filter("kind = 1 and more").join(found, "set", "left_anti").select("bucket", "set").distinct()
-    rest = postings.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInPandas(
-        lambda p, o: _partners(p, t, o["set"].to_numpy(np.int64).view(np.uint64))
-        if len(p) and len(o)
-        else pd.DataFrame(columns=_PAIR_COLUMNS),
-        _PAIRS,
+    # the likeliest partner of each set over all its tokens is compared first
+    partner = F.struct("spare", "doc_id", "tkey", "line", "other_doc", "other_tkey", "other_line", "other_set")
+    first = (
+        pairs.filter("kind = 1")
+        .groupBy("set")
+        .agg(F.max(partner).alias("p"), (F.bool_or("more") | (F.min("other_set") != F.max("other_set"))).alias("more"))
+        .select("set", "p.*", "more")
     )
+    first = settle(first, "first")
+    similar = settle(_similar(first, docs, t), "similar")
+    # sets that it does not match, though there are more partners, are compared with all of them
+    open_ = first.filter("more").select("set").join(similar.select("set"), "set", "left_anti")
+    open_ = settle(pairs.filter("kind = 1").select("bucket", "set").distinct().join(open_, "set"), "open")
     if not open_.isEmpty():
-        similar = similar.unionByName(_similar(rest, docs, t))
+        rest = postings.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInPandas(
+            lambda p, o: _partners(p, t, o["set"].to_numpy(np.int64).view(np.uint64))
+            if len(p) and len(o)
+            else pd.DataFrame(columns=_PAIR_COLUMNS),
+            _PAIRS,
+        )
+        similar = similar.unionByName(_similar(settle(rest.filter("kind = 1"), "rest"), docs, t))
     return gone.unionByName(similar.select("doc_id", "tkey", "line")).distinct()
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """The later lines of pairs whose Jaccard similarity is t or more, by their token sets."""
-    pairs = pairs.drop("bucket", "more", "kind").dropDuplicates(["set", "other_set"])
+    columns = ["set", "doc_id", "tkey", "line", "other_set", "other_doc", "other_tkey", "other_line"]
+    pairs = pairs.select(columns).dropDuplicates(["set", "other_set"])
     wanted = (
         pairs.select("doc_id", "tkey", "line")
         .union(pairs.select("other_doc", "other_tkey", "other_line"))
@@ -324,18 +331,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             for lo, hi in text_chunks(texts):
-                doc, line, token = line_tokens(texts[lo:hi])
+                # only the lines asked for are read, each as a text of its own
+                lines = [x[i] for text, own in zip(texts[lo:hi], pdf["lines"].iloc[lo:hi], strict=True) for x in [text.split("\n")] for i in own]
+                doc, line, token = line_tokens(lines)
                 begin = _groups(doc, line)
-                sets = set_hashes(token, begin)
-                asked = [frozenset(np.asarray(x).tolist()) for x in pdf["lines"].iloc[lo:hi]]
-                rows = [
-                    (int(s), token[a:b].tobytes())
-                    for s, a, b in zip(sets.view(np.int64), begin[:-1], begin[1:], strict=True)
-                    if int(line[a]) in asked[doc[a]]
-                ]
-                yield pd.DataFrame(rows, columns=["set", "tokens"])
-
-    sets = docs.dropDuplicates(["doc_id", "tkey"]).join(wanted, ["doc_id", "tkey"]).select("text", "lines")
+                sets = set_hashes(token, begin).view(np.int64)
+                rows = [token[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                yield pd.DataFrame({"set": sets, "tokens": rows})
+
+    sets = docs.join(wanted, ["doc_id", "tkey"]).select("text", "lines")
     sets = sets.mapInPandas(read, "set long, tokens binary").dropDuplicates(["set"])
     both = pairs.join(sets, "set").join(
         sets.select(F.col("set").alias("other_set"), F.col("tokens").alias("other_tokens")), "other_set"

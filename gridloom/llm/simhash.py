@@ -87,17 +87,16 @@ def _reorder(fp: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, same: bool):
-    """Yield arrays (i, j) of links between sorted 64-bit values whose first ``depth`` bits all agree.
+def trie_pairs(values: np.ndarray, a0, a1, b0, b1, depth, budget: int):
+    """Yield arrays (i, j) of links between values of the ranges a0:a1 and b0:b1, for many pairs of ranges at once.
 
-    Pairs of trie nodes are walked together. A node is a range of a sorted array; a pair carries the number of bits
-    in which its paths differ and is dropped beyond the budget. A pair whose leaves all must be within the budget
-    (path difference plus all bits that vary below) yields links that connect its leaves, not their product. With
-    ``same`` both arrays are one, and a node is paired with itself and with later nodes only.
+    Each range is sorted; all values of a pair of ranges agree in their first ``depth`` bits. A range is a trie node.
+    Pairs of nodes are walked together: a pair carries the number of bits in which its paths differ and is dropped
+    beyond the budget. A pair whose leaves all must be within the budget (path difference plus all bits that vary
+    below) yields links that connect its leaves, not their product. A range paired with itself gives each pair once.
     """
-    arrays = (left, right)
-    none = np.zeros(1, np.int64)
-    todo = [(none, none + len(left), none, none + len(right), none.copy(), none + depth)]
+    a0, a1, b0, b1, depth = (np.asarray(x, np.int64) for x in (a0, a1, b0, b1, depth))
+    todo = [(a0, a1, b0, b1, np.zeros(len(a0), np.int64), depth)]
     one = np.uint64(1)
     while todo:
         a0, a1, b0, b1, err, at = todo.pop()
@@ -105,19 +104,18 @@ def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, sam
             half = len(a0) // 2
             todo += [tuple(x[:half] for x in (a0, a1, b0, b1, err, at)), tuple(x[half:] for x in (a0, a1, b0, b1, err, at))]
             continue
-        own = (a0 == b0) if same else np.zeros(len(a0), bool)
-        first_a, first_b = left[a0], right[b0]
+        own = (a0 == b0) & (a1 == b1)
+        first_a, first_b = values[a0], values[b0]
         rest = np.where(at >= 64, np.uint64(0), ~np.uint64(0) >> np.minimum(at, 63).astype(np.uint64))
         # in a sorted range of one prefix the first and last differ first at the highest bit that varies
-        spread = (first_a ^ left[a1 - 1]) | (first_b ^ right[b1 - 1])
+        spread = (first_a ^ values[a1 - 1]) | (first_b ^ values[b1 - 1])
         between = (first_a ^ first_b) & rest
         low = _fill(spread & rest)
         sure = err + np.bitwise_count(between | low).astype(np.int64) <= budget
-        done = sure & ~own | own & sure
-        if done.any():
-            yield from _star(a0[done], a1[done], b0[done], b1[done])
+        if sure.any():
+            yield from _star(a0[sure], a1[sure], b0[sure], b1[sure])
         least = err + np.bitwise_count(between & ~low)
-        live = ~done & (least <= budget) & ~(own & (a1 - a0 < 2))
+        live = ~sure & (least <= budget) & ~(own & (a1 - a0 < 2))
         a0, a1, b0, b1, err, own, spread, between, low = (
             x[live] for x in (a0, a1, b0, b1, err, own, spread & rest, between, low)
         )
@@ -127,7 +125,7 @@ def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, sam
         bit = np.uint64(63) - _top(low)
         err = err + np.bitwise_count(between & ~low).astype(np.int64)
         mask = one << (np.uint64(63) - bit)
-        split_a, split_b = _split(arrays[0], a0, a1, mask), _split(arrays[1], b0, b1, mask)
+        split_a, split_b = _split(values, a0, a1, mask), _split(values, b0, b1, mask)
         at = bit.astype(np.int64) + 1
         parts = []
         for sa, (p0, p1) in enumerate(((a0, split_a), (split_a, a1))):
@@ -226,23 +224,23 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
         if not len(pdf):
             return
         way, fp = pdf["way"].to_numpy(), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        i, j, right = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["is_right"].to_numpy()
-        a, b = [], []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            key, rest = ways[way[lo]]
-            values = _reorder(fp[lo:hi], key + rest)
-            same = i[lo] == j[lo]
-            split = right[lo:hi]
-            sides = (values, values) if same else (values[~split], values[split])
-            raws = (fp[lo:hi], fp[lo:hi]) if same else (fp[lo:hi][~split], fp[lo:hi][split])
-            if not len(sides[0]) or not len(sides[1]):
-                continue
-            by = [np.argsort(s) for s in sides]
-            for x, y in trie_pairs(sides[0][by[0]], sides[1][by[1]], len(key), budget, same):
-                a.append(raws[0][by[0][x]])
-                b.append(raws[1][by[1][y]])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
+        same, right = (pdf["i"] == pdf["j"]).to_numpy(), pdf["is_right"].to_numpy(bool)
+        values = np.empty(len(fp), np.uint64)
+        for w in np.unique(way):
+            values[way == w] = _reorder(fp[way == w], ways[w][0] + ways[w][1])
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        order = np.lexsort((values, right, group))
+        n_right = np.bincount(group, right, len(edges) - 1).astype(np.int64)
+        start, end = np.asarray(edges[:-1]), np.asarray(edges[1:])
+        middle = end - n_right
+        alone = same[start]
+        a0, a1 = start, np.where(alone, end, middle)
+        b0, b1 = np.where(alone, start, middle), end
+        full = (a0 < a1) & (b0 < b1)
+        depth = np.array([len(key) for key, _ in ways])[way[start]]
+        links = list(trie_pairs(values[order], a0[full], a1[full], b0[full], b1[full], depth[full], budget))
+        if links:
+            a, b = (fp[order[np.concatenate(x)]] for x in zip(*links, strict=True))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
             yield pd.DataFrame({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
 
