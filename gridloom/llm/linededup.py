@@ -153,7 +153,8 @@ def _partners(pdf: pd.DataFrame, t: float, only: np.ndarray | None) -> pd.DataFr
     line, token, sets, n, pos, bits, first = (np.concatenate([p[i] for p in parts]) for i in range(5, 12))
     # of equal sets in a token's group only the earliest line stays
     order = np.lexsort((line, keys[doc], ids[doc], sets, token))
-    same = np.r_[False, (token[order][1:] == token[order][:-1]) & (sets[order][1:] == sets[order][:-1])]
+    same = np.zeros(len(order), bool)
+    same[1:] = (token[order][1:] == token[order][:-1]) & (sets[order][1:] == sets[order][:-1])
     equal = order[same & first[order]]
     order = order[~same]
     # now by token and size: possible partners of a set are the ones behind it up to size / t
