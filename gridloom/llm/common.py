@@ -53,6 +53,14 @@ def select_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def map_by_id(docs: DataFrame, run, fields: str) -> DataFrame:
+    """``mapInPandas`` to (doc_id, ``fields``) where ids are strings on the way, as pandas would round large integers
+    that stand beside nulls."""
+    kind = docs.schema["doc_id"].dataType
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return named.mapInPandas(run, f"doc_id string, {fields}").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

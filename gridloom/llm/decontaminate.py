@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gridloom.llm.common import mix64, select_text, shingle_hashes_of, text_chunks, word_hashes
+from gridloom.llm.common import map_by_id, mix64, select_text, shingle_hashes_of, text_chunks, word_hashes
 
 #: Words are runs of letters and digits, lower-cased.
 _WORDS = re.compile(r"[^\W_]+")
@@ -147,10 +148,9 @@ def contaminated(
     """
     docs = select_text(df, id_col, text_col).filter("doc_id is not null")
     items = select_text(benchmark, item_id_col, item_text_col)
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = items.schema["doc_id"].dataType.simpleString()
     spark, found = df.sparkSession, None
-    schema = f"doc_id {doc_type}, item_id {item_type}, containment double"
+    fields = f"item_id {item_type}, containment double"
     for ids, sets in _item_blocks(items, words):
         shared = spark.sparkContext.broadcast((ids, sets))  # at most BLOCK_SHINGLES hashes and one item more
 
@@ -171,6 +171,6 @@ def contaminated(
                         rows += [(doc_ids[lo + doc[a]], item, share) for item, share in best.items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "containment"])
 
-        part = docs.mapInPandas(search, schema)
+        part = map_by_id(docs, search, fields)
         found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    return docs.limit(0).select("doc_id", F.lit(None).cast(item_type).alias("item_id"), F.lit(None).cast("double").alias("containment")) if found is None else found

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import map_by_id
+
 # Fixed values of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -441,14 +443,13 @@ def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
     kept as they are. Broken markup never fails: what can't be read as a tag is text. An empty table gives an empty
     result; other columns are ignored.
     """
-    pages = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    id_type = pages.schema["page_id"].dataType.simpleString()
+    pages = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches):
         for pdf in batches:
             texts = [page_text(h) for h in pdf["html"]]
             yield pd.DataFrame(
-                {"page_id": pdf["page_id"], "text": texts, "n_lines": [t.count("\n") + 1 if t else 0 for t in texts]}
+                {"doc_id": pdf["doc_id"], "text": texts, "n_lines": [t.count("\n") + 1 if t else 0 for t in texts]}
             )
 
-    return pages.mapInPandas(run, f"page_id {id_type}, text string, n_lines long")
+    return map_by_id(pages, run, "text string, n_lines long").withColumnRenamed("doc_id", "page_id")

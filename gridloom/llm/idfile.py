@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import select_text, settle, shared_folder, shuffle_width
+from gridloom.llm.common import map_by_id, select_text, settle, shared_folder, shuffle_width
 from gridloom.llm.tokens import text_ids
 
 #: Longest code, which is also the width of the decoding table's index.
@@ -120,7 +120,7 @@ def decode_block(payload: bytes, n: int, checkpoints: np.ndarray, table: tuple[n
 # --- on Spark ----------------------------------------------------------------------------------------------------
 
 _BLOCKS = (
-    "part int, block int, part_start long, n_ids long, checkpoints binary, payload binary, doc_ids array<{id}>, doc_lengths array<int>"
+    "part int, block int, part_start long, n_ids long, checkpoints binary, payload binary, doc_ids array<string>, doc_lengths array<int>"
 )
 
 
@@ -129,7 +129,6 @@ def encode_documents(
 ) -> DataFrame:
     """doc_id, uid and the ids of each whole text (16 bits each, enough for 65,536 ids), written once."""
     docs = select_text(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
@@ -141,7 +140,7 @@ def encode_documents(
             pdf["ids"] = [x.astype("<u2").tobytes() for x in ids]
             yield pdf[["doc_id", "uid", "ids"]]
 
-    return settle(docs.mapInPandas(run, f"doc_id {id_type}, uid long, ids binary"), "ids")
+    return settle(map_by_id(docs, run, "uid long, ids binary"), "ids")
 
 
 def write_id_file(ids: DataFrame, path: str) -> None:
@@ -188,7 +187,7 @@ def write_id_file(ids: DataFrame, path: str) -> None:
 
         for pdf in batches:
             for doc_id, own in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                held.append((None if pd.isna(doc_id) else doc_id, own))
+                held.append((doc_id, own))
                 size += len(own) // 2
                 if size >= BLOCK_IDS:
                     yield flush()
@@ -198,7 +197,9 @@ def write_id_file(ids: DataFrame, path: str) -> None:
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
     ordered = ids.repartitionByRange(shuffle_width(spark), "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    blocks = ordered.select("doc_id", "ids").mapInPandas(encode, _BLOCKS.format(id=id_type))
+    # ids are strings on the way through pandas, which would round large integers beside nulls
+    blocks = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(encode, _BLOCKS)
+    blocks = blocks.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{id_type}>"))
     # the payload is dense already
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
@@ -234,8 +235,9 @@ def read_id_file(spark: SparkSession, path: str, with_ids: bool = False) -> Data
                     out["ids"] = raw
                 yield out
 
-    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return blocks.mapInPandas(run, schema)
+    schema = "doc_id string, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    named = blocks.withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    return named.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def id_file_round_trip(

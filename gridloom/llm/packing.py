@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import select_text, settle
+from gridloom.llm.common import map_by_id, select_text, settle
 from gridloom.llm.tokens import text_ids
 
 #: Pieces of one packing problem; a problem is dealt by hash, so all have about this size at any corpus size.
@@ -41,8 +41,7 @@ def token_pieces(
             out.insert(0, "doc_id", pdf["doc_id"].take(out.pop("row").to_numpy(int)).to_numpy())
             yield out.astype({"piece": "int32"})
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return map_by_id(docs, cut, "piece int, start long, length long, ids_crc32 long")
 
 
 # --- one problem -------------------------------------------------------------------------------------------------

@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import select_text
+from gridloom.llm.common import map_by_id, select_text
 
 #: At most about this many labelled rows are used for fitting: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -216,15 +217,13 @@ def score_quality(
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
-                    "held_out": [False if pd.isna(i) else zlib.crc32(str(i).encode()) % 5 == 0 for i in pdf["key"]],
+                    "held_out": [i is not None and zlib.crc32(i.encode()) % 5 == 0 for i in pdf["doc_id"]],
                     "score": score,
                     "predicted": (score >= THRESHOLD).astype("int32"),
                 }
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.withColumn("key", F.col("doc_id").cast("string"))
-    return keyed.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_by_id(docs, run, "held_out boolean, score double, predicted int")
 
 
 def keep_quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -232,8 +231,10 @@ def keep_quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     forest = _train(select_text(df, "doc_id", "text"), labels, "quality", train_rows)
 
     def run(batches):
-        for pdf in batches:
-            x = np.array([statistics(t or "") for t in pdf["text"]]).reshape(-1, len(FEATURES))
-            yield pdf[forest.score(x) >= threshold]
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            x = np.array([statistics(t.as_py() or "") for t in texts]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(forest.score(x) >= threshold))
 
-    return df.mapInPandas(run, df.schema)
+    # other columns pass through as they are
+    return df.mapInArrow(run, df.schema)

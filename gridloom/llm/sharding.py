@@ -37,8 +37,8 @@ def shard_documents(
 ) -> DataFrame:
     """Deal documents to weighted shards by rendezvous hashing of their ids.
 
-    Returns doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32 (null where the text is null:
-    the crc of an empty text, 0), law ``key``, shard, slot (gapless from 0 in each shard), grown_shard (the shard
+    Returns doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32 (of a null text: 0, as of an
+    empty one), law ``key``, shard, slot (gapless from 0 in each shard), grown_shard (the shard
     with one more at the end, which moves rows only into itself).
 
     The id alone decides, so rows with one id meet in one shard and a null id is a key like any other. Slots do not

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import select_text, settle, shingle_hashes_of, shuffle_width, text_chunks, word_hashes
+from gridloom.llm.common import map_by_id, select_text, settle, shingle_hashes_of, shuffle_width, text_chunks, word_hashes
 from gridloom.llm.components import connected_components
 
 #: Bytes, not characters, are matched: only these separate words.
@@ -54,14 +54,13 @@ def fingerprint(hashes: list[int]) -> int:
 def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each whole text."""
     docs = select_text(df, id_col, text_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(shingle_hashes(t, words)) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
 
-    return docs.mapInPandas(run, f"doc_id {id_type}, fp long")
+    return map_by_id(docs, run, "fp long")
 
 
 # --- the join ----------------------------------------------------------------------------------------------------

@@ -212,10 +212,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         for pdf in batches:
-            pdf = pdf.sort_values("doc_id", kind="stable", na_position="last")
+            pdf = pdf.sort_values("doc_id", kind="stable")
             raw = [t.encode() for t in pdf["text"]]
-            known = pdf["doc_id"].notna().to_numpy()
-            ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
+            known, ids = pdf["known"].to_numpy(bool), pdf["doc_id"].to_numpy(np.int64)
             for lo, hi in text_chunks(raw, CHUNK):
                 sizes = np.array([len(r) for r in raw[lo:hi]], np.int64)
                 # chunks are written once and moved twice, so smaller ones are worth the time
@@ -223,7 +222,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"chunk": [(part << 32) + number], "payload": [payload]})
                 number += 1
 
-    return settle(docs.mapInPandas(run, "chunk long, payload binary"), "chunks")
+    marked = docs.select(
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text"
+    )
+    return settle(marked.mapInPandas(run, "chunk long, payload binary"), "chunks")
 
 
 class _Scan:
