@@ -34,6 +34,18 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
+    """As ``settle``, but dealt to buckets of ``keys`` once, so that each later join or grouping by them reads the
+    buckets as they are and moves nothing."""
+    spark, width = df.sparkSession, shuffle_width(df.sparkSession)
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    dealt = df.repartition(width, *keys).write.bucketBy(width, *keys).option("compression", "zstd").option("path", path)
+    dealt.saveAsTable(table)
+    _written.append((spark, path))
+    return spark.table(table)
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mix64, settle, shuffle_width, text_chunks, word_hashes
+from gridloom.llm.common import mix64, settle, settle_by, shuffle_width, text_chunks, word_hashes
 
 #: Cells that count tokens; tokens in one cell share a count, which affects their order and so the cost, not the result.
 CELL_BITS = 23
@@ -127,8 +127,8 @@ def _token_levels(docs: DataFrame) -> np.ndarray:
 
 
 def _bits(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """64 bits of each set, one set for each token."""
-    return np.bitwise_or.reduceat(np.uint64(1) << (token & np.uint64(63)), begin[:-1])
+    """32 bits of each set, one set for each token."""
+    return np.bitwise_or.reduceat(np.uint32(1) << (token & np.uint64(31)).astype(np.uint32), begin[:-1])
 
 
 _PAIRS = (
@@ -290,7 +290,8 @@ def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
             out.append((b, payload))
         yield pd.DataFrame(out, columns=["bucket", "payload"])
 
-    postings = settle(docs.mapInPandas(post, "bucket int, payload binary"), "postings")
+    # both searches read the buckets where they are
+    postings = settle_by(docs.mapInPandas(post, "bucket int, payload binary"), ["bucket"], "postings")
     pairs = settle(postings.groupBy("bucket").applyInPandas(lambda pdf: _partners(pdf, t, None), _PAIRS), "partners")
     gone = pairs.filter("kind = 0").select("doc_id", "tkey", "line")
     # the likeliest partner of each set over all its tokens is compared first
@@ -317,6 +318,12 @@ def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
     return gone.unionByName(similar.select("doc_id", "tkey", "line")).distinct()
 
 
+def _tokens(raw: bytes) -> np.ndarray:
+    """Tokens of 41 bits that are written as 4 and 2 bytes each."""
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """The later lines of pairs whose Jaccard similarity is t or more, by their token sets."""
     columns = ["set", "doc_id", "tkey", "line", "other_set", "other_doc", "other_tkey", "other_line"]
@@ -337,7 +344,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
                 doc, line, token = line_tokens(lines)
                 begin = _groups(doc, line)
                 sets = set_hashes(token, begin).view(np.int64)
-                rows = [token[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                low, high = token.astype(np.uint32), (token >> np.uint64(32)).astype(np.uint16)
+                rows = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pd.DataFrame({"set": sets, "tokens": rows})
 
     sets = docs.join(wanted, ["doc_id", "tkey"]).select("text", "lines")
@@ -350,7 +358,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["tokens"], pdf["other_tokens"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                a, b = _tokens(x), _tokens(y)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(common >= t * (len(a) + len(b) - common) - 1e-9)
             yield pdf.loc[keep, ["doc_id", "tkey", "line", "set"]]
@@ -376,9 +384,10 @@ def dedup_lines(df: DataFrame, t: float = 0.8, id_col: str = "doc_id", text_col:
 def lines_removed(df: DataFrame, t: float = 0.8) -> DataFrame:
     """All rows of ``df`` (doc_id, text and any others, none of them called n_lines or n_removed) with the text that
     stays and the two counts."""
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")).alias("row")
     docs = df.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("tkey", F.xxhash64("text"))
+    # texts are moved once: what reads them again by their keys finds them in buckets
+    docs = settle_by(docs.withColumn("tkey", F.xxhash64("text")), ["doc_id", "tkey"], "texts")
     sources = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "tkey")
     gone = duplicate_lines(sources, t).groupBy("doc_id", "tkey").agg(F.collect_list("line").alias("gone"))
     lines = F.split("text", "\n", -1)
