@@ -32,17 +32,19 @@ def _ids(t: Tables) -> DataFrame:
     return t.base("events").select(F.col("event_id").cast("long").alias("req_id"))
 
 
-_K = F.col("req_id")
+def _key() -> Column:
+    """The column that draws depend on; made when a query is, as there is no session at import."""
+    return F.col("req_id")
 
 
 @query(with_tables("SELECT id AS req_id, hash::VARCHAR AS hash FROM f8", **_fnv_sql("event_id::BIGINT * 7919")))
 def w08_fnv64(t: Tables) -> DataFrame:
-    return _ids(t).select("req_id", h.fnv64(_K * 7919).cast("string").alias("hash"))
+    return _ids(t).select("req_id", h.fnv64(_key() * 7919).cast("string").alias("hash"))
 
 
 @query(with_tables("SELECT id AS req_id, (10 + floor(u * 91))::BIGINT AS x FROM u0", **_uniform_sql(0, "u0")))
 def w01_uniform(t: Tables) -> DataFrame:
-    return _ids(t).select("req_id", w.uniform_int(_K, 10, 100).alias("x"))
+    return _ids(t).select("req_id", w.uniform_int(_key(), 10, 100).alias("x"))
 
 
 _ZN, _ETA, _ALPHA = h.zipf_constants(1000, 0.99)
@@ -59,7 +61,7 @@ def w02_zipf_head(t: Tables) -> DataFrame:
 
 
 def w_rank(ids: DataFrame) -> DataFrame:
-    return ids.select("req_id", h.zipf(h.uniform(_K, 0), 1000, 0.99).alias("rank"))
+    return ids.select("req_id", h.zipf(h.uniform(_key(), 0), 1000, 0.99).alias("rank"))
 
 
 @query()
@@ -69,17 +71,17 @@ def w02_zipf(t: Tables) -> DataFrame:
 
 @query()
 def w03_scrambled_zipf(t: Tables) -> DataFrame:
-    return _ids(t).select("req_id", w.scrambled_zipf(_K, N_KEYS).alias("key_index"))
+    return _ids(t).select("req_id", w.scrambled_zipf(_key(), N_KEYS).alias("key_index"))
 
 
 @query()
 def w04_latest(t: Tables) -> DataFrame:
-    return _ids(t).select("req_id", w.latest(_K, N_KEYS - 1).alias("key_index"))
+    return _ids(t).select("req_id", w.latest(_key(), N_KEYS - 1).alias("key_index"))
 
 
 @query(with_tables("SELECT CASE WHEN u < 0.5 THEN 'READ' WHEN u < 0.75 THEN 'INSERT' ELSE 'SCAN' END AS op, count(*) AS n FROM u0 GROUP BY op", **_uniform_sql(0, "u0")))
 def w05_op_mix(t: Tables) -> DataFrame:
-    op = w.discrete(h.uniform(_K, 0), {"READ": 2, "INSERT": 1, "SCAN": 1})
+    op = w.discrete(h.uniform(_key(), 0), {"READ": 2, "INSERT": 1, "SCAN": 1})
     return _ids(t).select(op.alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,14 +117,14 @@ def w11_field_values(t: Tables) -> DataFrame:
         parts += [F.shiftrightunsigned(high, 8 * i) % 75 for i in range(3)]
         return F.concat(*(F.char(48 + p % 75) for p in parts))
 
-    high, low = h.fnv64_parts(_K)
+    high, low = h.fnv64_parts(_key())
     return _ids(t).select("req_id", h.let(F.struct(high.alias("high"), low.alias("low")), name).alias("field"))
 
 
 @query()
 def w13_continuous(t: Tables) -> DataFrame:
     return _ids(t).select(
-        "req_id", F.round(h.normal(_K, 0), 6).alias("normal"), F.round(w.lognormal(_K, 0.0, 0.5, 2), 6).alias("lognormal"), F.round(w.uniform_real(_K, -1.0, 1.0, 4), 6).alias("uniform")
+        "req_id", F.round(h.normal(_key(), 0), 6).alias("normal"), F.round(w.lognormal(_key(), 0.0, 0.5, 2), 6).alias("lognormal"), F.round(w.uniform_real(_key(), -1.0, 1.0, 4), 6).alias("uniform")
     )
 
 
@@ -134,7 +136,7 @@ def _box(t: Tables) -> tuple[float, float, float, float]:
 
 
 def _extent(draw: int) -> Column:
-    return w.uniform_real(_K, 0.5, 8.0, draw)
+    return w.uniform_real(_key(), 0.5, 8.0, draw)
 
 
 _BOXES = "SELECT min(l) AS x0, max(r) AS x1, min(b) AS y0, max(t) AS y1 FROM rects"
@@ -145,14 +147,14 @@ _BOXES = "SELECT min(l) AS x0, max(r) AS x1, min(b) AS y0, max(t) AS y1 FROM rec
  **_uniform_sql(0, "u0"), **_uniform_sql(1, "u1"), **_uniform_sql(2, "u2"), **_uniform_sql(3, "u3")))
 def w20_uniform_boxes(t: Tables) -> DataFrame:
     x0, x1, y0, y1 = _box(t)
-    return w.box_requests(_ids(t), w.uniform_real(_K, x0, x1, 0), w.uniform_real(_K, y0, y1, 1), _extent(2), _extent(3))
+    return w.box_requests(_ids(t), w.uniform_real(_key(), x0, x1, 0), w.uniform_real(_key(), y0, y1, 1), _extent(2), _extent(3))
 
 
 @query()
 def w21_normal_boxes(t: Tables) -> DataFrame:
     x0, x1, y0, y1 = _box(t)
-    x = F.lit((x0 + x1) / 2) + h.normal(_K, 0) * ((x1 - x0) / 6)
-    y = F.lit((y0 + y1) / 2) + h.normal(_K, 2) * ((y1 - y0) / 6)
+    x = F.lit((x0 + x1) / 2) + h.normal(_key(), 0) * ((x1 - x0) / 6)
+    y = F.lit((y0 + y1) / 2) + h.normal(_key(), 2) * ((y1 - y0) / 6)
     return w.box_requests(_ids(t), x, y, _extent(4), _extent(5))
 
 
@@ -160,15 +162,15 @@ def w21_normal_boxes(t: Tables) -> DataFrame:
 def w22_point_lookups(t: Tables) -> DataFrame:
     """A stored object for each request, by its number."""
     n = t.rects.count()
-    drawn = _ids(t).select("req_id", F.floor(h.uniform(_K, 0) * n).cast("long").alias("id"))
+    drawn = _ids(t).select("req_id", F.floor(h.uniform(_key(), 0) * n).cast("long").alias("id"))
     return drawn.join(t.rects.select("id", "l", "b"), "id")
 
 
 @query()
 def w23_zipf_boxes(t: Tables) -> DataFrame:
     x0, x1, y0, y1 = _box(t)
-    x = F.lit(x0) + h.zipf(h.uniform(_K, 0), int(x1 - x0) + 1, 0.4)
-    y = F.lit(y0) + h.zipf(h.uniform(_K, 1), int(y1 - y0) + 1, 0.4)
+    x = F.lit(x0) + h.zipf(h.uniform(_key(), 0), int(x1 - x0) + 1, 0.4)
+    y = F.lit(y0) + h.zipf(h.uniform(_key(), 1), int(y1 - y0) + 1, 0.4)
     return w.box_requests(_ids(t), x, y, _extent(2), _extent(3))
 
 
@@ -176,7 +178,7 @@ def _hotspots(t: Tables, n: int) -> DataFrame:
     x0, x1, y0, y1 = _box(t)
     spots = [(0.8 / n, x0 + (i + 1) * (x1 - x0) / (n + 1), (x1 - x0) / 50) for i in range(n)] + [(0.2, (x0 + x1) / 2, (x1 - x0) / 4)]
     rows = [(0.8 / n, y0 + (n - i) * (y1 - y0) / (n + 1), (y1 - y0) / 50) for i in range(n)] + [(0.2, (y0 + y1) / 2, (y1 - y0) / 4)]
-    return w.box_requests(_ids(t), w.mixture_normal(_K, spots, 0), w.mixture_normal(_K, rows, 4), _extent(8), _extent(9))
+    return w.box_requests(_ids(t), w.mixture_normal(_key(), spots, 0), w.mixture_normal(_key(), rows, 4), _extent(8), _extent(9))
 
 
 @query()
@@ -197,9 +199,9 @@ def w24_hot7_boxes(t: Tables) -> DataFrame:
 def _mixed(t: Tables, share: float) -> DataFrame:
     """Points for a share of the requests, fixed boxes of 4 by 2 for the others."""
     x0, x1, y0, y1 = _box(t)
-    point = h.uniform(_K, 2) < share
+    point = h.uniform(_key(), 2) < share
     side = lambda v: F.when(point, 0.0).otherwise(float(v))
-    return w.box_requests(_ids(t), w.uniform_real(_K, x0, x1, 0), w.uniform_real(_K, y0, y1, 1), side(4), side(2))
+    return w.box_requests(_ids(t), w.uniform_real(_key(), x0, x1, 0), w.uniform_real(_key(), y0, y1, 1), side(4), side(2))
 
 
 def _mixed_sql(share: float) -> str:
@@ -229,8 +231,8 @@ def w25_mixed_75_25(t: Tables) -> DataFrame:
 def w26_lognormal_boxes(t: Tables) -> DataFrame:
     """Draws outside the extent are left out."""
     x0, x1, y0, y1 = _box(t)
-    width = w.lognormal(_K, 0.0, 0.5, 4)
-    drawn = w.box_requests(_ids(t), w.lognormal(_K, 3.5, 0.6, 0), w.lognormal(_K, 4.5, 0.6, 2), width, width)  # one draw for both sides
+    width = w.lognormal(_key(), 0.0, 0.5, 4)
+    drawn = w.box_requests(_ids(t), w.lognormal(_key(), 3.5, 0.6, 0), w.lognormal(_key(), 4.5, 0.6, 2), width, width)  # one draw for both sides
     return drawn.filter((F.col("l") >= x0) & (F.col("r") <= x1) & (F.col("b") >= y0) & (F.col("t") <= y1))
 
 
@@ -289,8 +291,8 @@ def _rank_hotspots(low: float, high: float) -> list[tuple[float, float, float]]:
 @query()
 def w28_rank_hotspot_scans(t: Tables) -> DataFrame:
     """Scans that begin at ranks around eight hotspots; draws beyond the keys are left out."""
-    rank = F.floor(w.mixture_normal(_K, _rank_hotspots(0, N_KEYS), 0)).cast("long")
-    drawn = _ids(t).select("req_id", rank.alias("rank"), w.uniform_int(_K, 1, 30_000, 5).alias("scan_len"))
+    rank = F.floor(w.mixture_normal(_key(), _rank_hotspots(0, N_KEYS), 0)).cast("long")
+    drawn = _ids(t).select("req_id", rank.alias("rank"), w.uniform_int(_key(), 1, 30_000, 5).alias("scan_len"))
     return drawn.filter(F.col("rank").between(0, N_KEYS - 1))
 
 
@@ -298,6 +300,6 @@ def w28_rank_hotspot_scans(t: Tables) -> DataFrame:
 def w29_key_hotspot_scans(t: Tables) -> DataFrame:
     """The same in key space."""
     low, high = t.key_range
-    key = F.floor(w.mixture_normal(_K, _rank_hotspots(low, high), 0)).cast("long")
-    drawn = _ids(t).select("req_id", key.alias("key"), w.uniform_int(_K, 1, 30_000, 5).alias("scan_len"))
+    key = F.floor(w.mixture_normal(_key(), _rank_hotspots(low, high), 0)).cast("long")
+    drawn = _ids(t).select("req_id", key.alias("key"), w.uniform_int(_key(), 1, 30_000, 5).alias("scan_len"))
     return drawn.filter(F.col("key").between(int(low), int(high)))
