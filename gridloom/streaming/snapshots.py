@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone; one without takes that of the session. Tables stay as they are."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if stream.isStreaming else stream
+
+
 def tumbling(stream: DataFrame, ts: str, by: list[str], width: str = "40 seconds", late: str = "40 seconds") -> DataFrame:
     """start, by..., n: executions in each window; works on streams and on tables."""
-    marked = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    marked = _timed(stream, ts, late)
     counted = marked.groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("start"), *by, "n")
 
 
 def system_samples(stream: DataFrame, ts: str, values: list[str], width: str = "30 seconds", late: str = "30 seconds") -> DataFrame:
     """start and the last of each value in the window."""
-    marked = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    marked = _timed(stream, ts, late)
     last = marked.groupBy(F.window(ts, width)).agg(*(F.max_by(v, ts).alias(v) for v in values))
     return last.select(F.col("window.start").alias("start"), *values)
 
