@@ -19,6 +19,8 @@ MOST_LINES = 1 << 22
 SEGMENTS = 16
 #: Text for each bucket of tokens, from which the number of buckets follows.
 BUCKET_TEXT = 6 << 20
+#: Characters of text whose lines are posted together.
+CHUNK = 8 << 20
 
 
 def _pack(*arrays) -> bytes:
@@ -155,7 +157,11 @@ def _partners(pdf: pd.DataFrame, t: float, only: np.ndarray | None) -> pd.DataFr
     order = np.lexsort((line, keys[doc], ids[doc], sets, token))
     same = np.zeros(len(order), bool)
     same[1:] = (token[order][1:] == token[order][:-1]) & (sets[order][1:] == sets[order][:-1])
-    equal = order[same & first[order]]
+    # a posting of the earliest line itself, from a repeated row in another chunk, is not a later line
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    d, e = doc[order], doc[lead]
+    other = (ids[d] != ids[e]) | (keys[d] != keys[e]) | (line[order] != line[lead])
+    equal = order[same & first[order] & other]
     order = order[~same]
     # now by token and size: possible partners of a set are the ones behind it up to size / t
     order = order[np.lexsort((n[order], token[order]))]
@@ -220,7 +226,7 @@ def _best(found, earlier: np.ndarray):
     return a[begin], b[begin], most[begin], more | several
 
 
-def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
+def duplicate_lines(docs: DataFrame, t: float, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, tkey, line): lines that are similar to an earlier one. docs: doc_id long, text, tkey long."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -232,7 +238,7 @@ def duplicate_lines(docs: DataFrame, t: float) -> DataFrame:
             pdf = pdf[pdf["doc_id"].notna()].sort_values(["doc_id", "tkey"], kind="stable")
             texts = pdf["text"].tolist()
             ids, keys = pdf["doc_id"].to_numpy(np.int64), pdf["tkey"].to_numpy(np.int64)
-            for lo, hi in text_chunks(texts):
+            for lo, hi in text_chunks(texts, chunk):
                 yield from _post(texts[lo:hi], ids[lo:hi], keys[lo:hi])
 
     def _post(texts, ids, keys):
@@ -366,7 +372,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     return both.mapInPandas(verify, "doc_id long, tkey long, line int, set long")
 
 
-def dedup_lines(df: DataFrame, t: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    df: DataFrame, t: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+) -> DataFrame:
     """Remove each line whose word set is at least ``t`` similar (Jaccard) to a line before it in the corpus.
 
     Lines are what newlines separate; their words are lower-cased and cut at white space, and each counts once. The
@@ -376,12 +384,11 @@ def dedup_lines(df: DataFrame, t: float = 0.8, id_col: str = "doc_id", text_col:
     it is and is no source for others. A null text has no lines, an empty one has a single line without words.
     An empty table gives an empty result; other columns are ignored.
     """
-    return lines_removed(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), t).select(
-        "doc_id", "text", "n_lines", "n_removed"
-    )
+    named = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return lines_removed(named, t, chunk).select("doc_id", "text", "n_lines", "n_removed")
 
 
-def lines_removed(df: DataFrame, t: float = 0.8) -> DataFrame:
+def lines_removed(df: DataFrame, t: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """All rows of ``df`` (doc_id, text and any others, none of them called n_lines or n_removed) with the text that
     stays and the two counts."""
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")).alias("row")
@@ -389,7 +396,7 @@ def lines_removed(df: DataFrame, t: float = 0.8) -> DataFrame:
     # texts are moved once: what reads them again by their keys finds them in buckets
     docs = settle_by(docs.withColumn("tkey", F.xxhash64("text")), ["doc_id", "tkey"], "texts")
     sources = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "tkey")
-    gone = duplicate_lines(sources, t).groupBy("doc_id", "tkey").agg(F.collect_list("line").alias("gone"))
+    gone = duplicate_lines(sources, t, chunk).groupBy("doc_id", "tkey").agg(F.collect_list("line").alias("gone"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(
         F.arrays_zip(lines.alias("t"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")),

@@ -462,3 +462,13 @@ def test_lines_odd_rows(odd, nothing):
 def test_hash_of_kept_bytes(spark):
     row = repeated_passages(spark.createDataFrame([Row(doc_id=1, text="é")])).first()
     assert row["kept_sha256"] == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_lines_of_repeated_rows_in_separate_chunks(spark):
+    """Rows equal in id and text are one document, whether or not they are posted together."""
+    rows = [(7, "a b c d e\nf g h i j\na b c d e")] * 3 + [(3, "k l m n o")] * 2 + [(9, "f g h i j\np q r s t")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected = [(3, "k l m n o", 0)] * 2 + [(7, "a b c d e\nf g h i j", 1)] * 3 + [(9, "p q r s t", 1)] * 2
+    for chunk in (8 << 20, 1):
+        found = dedup_lines(df, chunk=chunk).select("doc_id", "text", "n_removed").collect()
+        assert sorted(map(tuple, found)) == expected
