@@ -13,8 +13,9 @@ from gridloom.llm.quality import keep_quality
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.tokens import public_path
 
-#: Differing fingerprint bits up to which two documents are compared, and the similarity of five-word shingles asked for.
-NEAR_BITS, NEAR_SIMILARITY = 7, 0.8
+#: Words of a fingerprint's shingles, differing bits up to which two documents are compared, and the similarity of
+#: five-word shingles asked for. README has the pairs that other values lose.
+NEAR_WORDS, NEAR_BITS, NEAR_SIMILARITY = 2, 13, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
-    found = near_duplicates(docs, budget=NEAR_BITS, similarity=NEAR_SIMILARITY)
+    found = near_duplicates(docs, NEAR_WORDS, NEAR_BITS, similarity=NEAR_SIMILARITY)
     first = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 

@@ -21,6 +21,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 GROUP = 4096
 #: Node pairs that are walked at once.
 FRONT = 1 << 19
+#: Pairs of a pair of nodes up to which all are returned at once where each pair is to be verified.
+FEW = 256
 
 
 # --- fingerprints ------------------------------------------------------------------------------------------------
@@ -51,16 +53,19 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(over).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each whole text."""
+def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", nodes: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each whole text; ``nodes``: also the text's hash as node."""
     docs = select_text(df, id_col, text_col)
+    if nodes:
+        docs = docs.withColumn("node", F.xxhash64("text"))
 
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(shingle_hashes(t, words)) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            own = {"node": pdf["node"]} if nodes else {}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64), **own})
 
-    return map_by_id(docs, run, "fp long")
+    return map_by_id(docs, run, "fp long, node long" if nodes else "fp long")
 
 
 # --- the join ----------------------------------------------------------------------------------------------------
@@ -86,14 +91,16 @@ def _reorder(fp: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def trie_pairs(values: np.ndarray, a0, a1, b0, b1, depth, budget: int):
+def trie_pairs(values: np.ndarray, a0, a1, b0, b1, depth, budget: int, leaves=None):
     """Yield arrays (i, j) of links between values of the ranges a0:a1 and b0:b1, for many pairs of ranges at once.
 
     Each range is sorted; all values of a pair of ranges agree in their first ``depth`` bits. A range is a trie node.
     Pairs of nodes are walked together: a pair carries the number of bits in which its paths differ and is dropped
     beyond the budget. A pair whose leaves all must be within the budget (path difference plus all bits that vary
-    below) yields links that connect its leaves, not their product. A range paired with itself gives each pair once.
+    below) yields links that connect its leaves, not their product, or what ``leaves`` yields for such pairs of ranges. A range
+    paired with itself gives each pair once.
     """
+    leaves = leaves or _star
     a0, a1, b0, b1, depth = (np.asarray(x, np.int64) for x in (a0, a1, b0, b1, depth))
     todo = [(a0, a1, b0, b1, np.zeros(len(a0), np.int64), depth)]
     one = np.uint64(1)
@@ -112,7 +119,7 @@ def trie_pairs(values: np.ndarray, a0, a1, b0, b1, depth, budget: int):
         low = _fill(spread & rest)
         sure = err + np.bitwise_count(between | low).astype(np.int64) <= budget
         if sure.any():
-            yield from _star(a0[sure], a1[sure], b0[sure], b1[sure])
+            yield from leaves(a0[sure], a1[sure], b0[sure], b1[sure])
         least = err + np.bitwise_count(between & ~low)
         live = ~sure & (least <= budget) & ~(own & (a1 - a0 < 2))
         a0, a1, b0, b1, err, own, spread, between, low = (
@@ -168,14 +175,51 @@ def _star(a0, a1, b0, b1):
         yield (i, j) if other is b0 else (j, i)
 
 
+def _product(a0, a1, b0, b1):
+    """All pairs of leaves, the earlier first, about FRONT at once."""
+    n = a1 - a0
+    i = np.repeat(a0, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    start, size = np.repeat(b0, n), np.repeat(b1 - b0, n)
+    end, at = np.cumsum(size), 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + FRONT, "right")))
+        k = size[at:to]
+        x = np.repeat(i[at:to], k)
+        y = np.repeat(start[at:to], k) + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        at = to
+        yield x[x < y], y[x < y]
+
+
+def _few_or_star(a0, a1, b0, b1):
+    """(i, j, more): all pairs of leaves where they are few; otherwise links that connect them, marked with more."""
+    many = (a1 - a0) * (b1 - b0) > FEW
+    for part, pairs in ((~many, _product), (many, _star)):
+        for i, j in pairs(a0[part], a1[part], b0[part], b1[part]):
+            yield i, j, np.full(len(i), pairs is _star)
+
+
+def _product_of_many(a0, a1, b0, b1):
+    """All pairs of leaves where ``_few_or_star`` has links only."""
+    many = (a1 - a0) * (b1 - b0) > FEW
+    yield from _product(a0[many], a1[many], b0[many], b1[many])
+
+
 def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """(a, b): links that connect all fingerprints (fp, distinct) of at most ``budget`` differing bits.
 
     Each fingerprint goes to one group for each pair of bit blocks, keyed by those blocks' bits. A group larger than
     GROUP is dealt to blocks by hash, and each pair of blocks is a task of its own. Inside the trie nodes of which all
     leaves are within the budget only links that connect them are returned, so dense groups don't become all pairs.
+
+    With a column node (distinct, while fp may repeat) the links are those of nodes, all pairs of them but for large
+    trie nodes, whose links have true in the column more. With a column component as well, all pairs in those large
+    trie nodes are returned that lie in two components.
     """
     ways = _blocks(budget)
+    carried = [c for c in ("node", "component") if c in fps.columns]
+    name = carried[0] if carried else "fp"
+    leaves = (_star, _few_or_star, _product_of_many)[len(carried)]
+    fields = "a long, b long, more boolean" if len(carried) == 1 else "a long, b long"
     width = shuffle_width(fps.sparkSession)
 
     def keyed(batches):
@@ -185,21 +229,28 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
             for way, (key, _) in enumerate(ways):
                 out.append(
                     pd.DataFrame(
-                        {"fp": fp, "way": np.int32(way), "key": _reorder(fp.view(np.uint64), key).astype(np.int64)}
+                        {
+                            "fp": fp,
+                            **{c: pdf[c].to_numpy(np.int64) for c in carried},
+                            "way": np.int32(way),
+                            "key": _reorder(fp.view(np.uint64), key).astype(np.int64),
+                        }
                     )
                 )
             yield pd.concat(out)
 
-    spread = settle(fps.select("fp").mapInPandas(keyed, "fp long, way int, key long"), "keys")
+    with_key = "".join(f"{c} long, " for c in ["fp", *carried]) + "way int, key long"
+    spread = settle(fps.select("fp", *carried).mapInPandas(keyed, with_key), "keys")
     large = spread.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     # a lone fingerprint has no partner in its group
     sized = spread.join(large, ["way", "key"]).withColumn(
         "blocks", F.ceil(F.col("n") / F.lit(GROUP)).cast("int")
     )
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sized.withColumn("own", own).select("fp", "way", "key", "own", other.alias("other")).select(
+    dealt = sized.withColumn("own", own).select("fp", *carried, "way", "key", "own", other.alias("other")).select(
         "fp",
+        *carried,
         "way",
         "key",
         F.least("own", "other").alias("i"),
@@ -237,19 +288,30 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
         b0, b1 = np.where(alone, start, middle), end
         full = (a0 < a1) & (b0 < b1)
         depth = np.array([len(key) for key, _ in ways])[way[start]]
-        links = list(trie_pairs(values[order], a0[full], a1[full], b0[full], b1[full], depth[full], budget))
+        node = pdf[name].to_numpy(np.int64)[order]
+        apart = pdf["component"].to_numpy(np.int64)[order] if len(carried) == 2 else None
+        links, held = [], 0
+        for i, j, *more in trie_pairs(values[order], a0[full], a1[full], b0[full], b1[full], depth[full], budget, leaves):
+            ok = node[i] != node[j] if apart is None else apart[i] != apart[j]
+            links.append(tuple(x[ok] for x in (node[i], node[j], *more)))
+            held += len(links[-1][0])
+            if held > FRONT:
+                yield linked(links)
+                links, held = [], 0
         if links:
-            a, b = (fp[order[np.concatenate(x)]] for x in zip(*links, strict=True))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-            yield pd.DataFrame({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
+            yield linked(links)
+
+    def linked(links):
+        a, b, *more = (np.concatenate(x) for x in zip(*links, strict=True))
+        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), **({"more": more[0]} if more else {})})
+        return found.drop_duplicates()
 
-    return tasks.mapInPandas(join, "a long, b long")
+    return tasks.mapInPandas(join, fields)
 
 
-def _verified(links: DataFrame, classes: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links whose first documents' sets of ``words``-word shingles have that Jaccard similarity or more."""
-    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.join(ends, "fp").select("fp", F.col("least").alias("doc_id"))
+def _verified(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links whose nodes' sets of ``words``-word shingles have that Jaccard similarity or more. texts: node, text."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
 
     def run(batches):
         for pdf in batches:
@@ -263,10 +325,10 @@ def _verified(links: DataFrame, classes: DataFrame, df: DataFrame, words: int, s
                     # a text of fewer words is one shingle
                     own = np.unique(shingle[a:b]) if b > a else np.array([zlib.crc32(short[i].encode())], np.uint64)
                     sets.append(own.tobytes())
-            yield pd.DataFrame({"fp": pdf["fp"], "set": sets})
+            yield pd.DataFrame({"node": pdf["node"], "set": sets})
 
-    texts = df.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("fp", "text")
-    sets = texts.mapInPandas(run, "fp long, set binary")
+    wanted = texts.join(ends, "node", "left_semi").dropDuplicates(["node"])
+    sets = wanted.select("node", "text").mapInPandas(run, "node long, set binary")
     both = links.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def compare(batches):
@@ -281,6 +343,22 @@ def _verified(links: DataFrame, classes: DataFrame, df: DataFrame, words: int, s
     return both.mapInPandas(compare, "a long, b long")
 
 
+def _similar_links(nodes: DataFrame, texts: DataFrame, budget: int, words: int, similarity: float) -> DataFrame:
+    """(a, b): links of similar nodes with fingerprints within the budget that connect all such nodes.
+
+    All pairs are verified but for those of large trie nodes, of which first only some are. Any other pair of theirs
+    matters only if these leave its ends in two components, so only such pairs are verified after that.
+    """
+    found = settle(fingerprint_links(nodes, budget).groupBy("a", "b").agg(F.bool_or("more").alias("more")), "found")
+    similar = settle(_verified(found, texts, words, similarity), "similar")
+    if found.filter("more").isEmpty():
+        return similar
+    components = connected_components(similar)
+    apart = nodes.join(components, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
+    rest = settle(fingerprint_links(settle(apart, "apart"), budget).distinct(), "rest")
+    return similar.unionByName(_verified(rest, texts, words, similarity))
+
+
 def near_duplicates(
     df: DataFrame,
     words: int = 4,
@@ -295,21 +373,25 @@ def near_duplicates(
 
     A text without words (null, empty, spaces only) has fingerprint zero and is linked like any other. A row with a
     null doc_id gets its component like any other and is not a candidate for its id. Repeated rows share one
-    fingerprint and so one component. With ``similarity`` a link of different fingerprints also needs that Jaccard
-    similarity of the ``similar_words``-word shingle sets, so that chance links of a very large corpus don't count;
-    then only links that the join returns are verified, which in a dense group need not be all. An empty table gives an empty result; other columns are ignored.
+    fingerprint and so one component. With ``similarity`` a link of different texts, whether or not their fingerprints
+    are equal, also needs that Jaccard similarity of the ``similar_words``-word shingle sets, so that chance links of a
+    very large corpus don't count. An empty table gives an empty result; other columns are ignored.
     """
-    docs = settle(fingerprints(df, words, id_col, text_col), "fingerprints")
-    classes = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = fingerprint_links(classes.select("fp"), budget)
-    if similarity is not None:
-        links = _verified(settle(links.distinct(), "found"), classes, select_text(df, id_col, text_col), similar_words, similarity)
-    components = settle(connected_components(links), "components")
-    labelled = classes.join(components, classes["fp"] == components["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
+    node = "fp" if similarity is None else "node"
+    docs = settle(fingerprints(df, words, id_col, text_col, nodes=similarity is not None), "fingerprints")
+    classes = docs.groupBy(*dict.fromkeys(("fp", node))).agg(F.min("doc_id").alias("least"))
+    classes = settle(classes, "classes")
+    if similarity is None:
+        links = fingerprint_links(classes.select("fp"), budget)
+    else:
+        texts = select_text(df, id_col, text_col).select(F.xxhash64("text").alias("node"), "text")
+        links = _similar_links(classes.select("fp", "node"), texts, budget, similar_words, similarity)
+    components = settle(connected_components(links), "components").withColumnRenamed("node", "_node")
+    labelled = classes.join(components, classes[node] == components["_node"], "left").select(
+        F.col(node).alias("_node"), "least", F.coalesce("component", node).alias("component")
     )
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = labelled.join(least, "component").select("fp", "component_id")
-    return docs.join(by_class, "fp").select(
+    by_class = labelled.join(least, "component").select(F.col("_node").alias(node), "component_id")
+    return docs.join(by_class, node).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

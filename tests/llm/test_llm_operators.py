@@ -324,6 +324,27 @@ def test_fingerprint_links_connect_what_is_near(spark, budget, monkeypatch):
     assert own == brute.components(list(range(len(fps))), every)
 
 
+def test_near_duplicates_by_similarity_lose_no_link_of_a_dense_group(spark, monkeypatch):
+    """Equal and near fingerprints, of which the first text is like none of the others or only like some."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[:k] + [f"x{j}"] * (k < 40) + base[k:]) for j in range(4) for k in (0, 20, 40)]
+    texts += [" ".join(f"{c}{i}" for i in range(30)) for c in "pqr"]
+    texts += [f"{texts[-1]} more", "", "one", "two"]
+    # like a chain: each like the next, not all like the first
+    texts += [" ".join(base[k : k + 34]) for k in range(0, 7, 2)]
+    rows = list(enumerate(texts))
+    real = simhash.fingerprints
+
+    def dense(*args, **kw):  # all in a few fingerprints near each other
+        return real(*args, **kw).withColumn("fp", F.pmod("fp", F.lit(4)))
+
+    monkeypatch.setattr(simhash, "fingerprints", dense)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    expected = brute.components([i for i, _ in rows], brute.jaccard_pairs(texts))
+    assert [found[i] for i, _ in rows] == expected
+
+
 # --- top k ---------------------------------------------------------------------------------------------------------
 
 

@@ -69,6 +69,15 @@ def test_near_stage(spark, stages):
     assert {c for c in group} <= {c for (i, _), c in zip(rows, group, strict=True) if i in kept}
 
 
+def test_near_stage_loses_no_similar_pair(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    rows, kept = _texts(docs), sorted(r["doc_id"] for r in stage(spark, docs, sf).collect())
+    pairs = brute.jaccard_pairs([t for _, t in rows])
+    assert kept == sorted(set(brute.components([i for i, _ in rows], pairs)))
+
+
 def test_decontamination_stage(spark, stages):
     before, after = stages["decontamination"]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
