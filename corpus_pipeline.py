@@ -30,17 +30,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written so that it stays the same."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    found = near_duplicates(docs, NEAR_WORDS, NEAR_BITS, similarity=NEAR_SIMILARITY)
-    first = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """One row of each group of near-duplicates: that with the least doc_id, null ids last; of rows with an equal id the
+    first as read.
+
+    Groups are of rows, whatever their ids: of repeated rows one stays, different texts under one id are judged each by
+    itself, and rows without an id go like any others. Null and empty texts are near-duplicates of each other.
+    """
+    rows = _numbered(docs)
+    found = near_duplicates(rows, NEAR_WORDS, NEAR_BITS, id_col="_row", similarity=NEAR_SIMILARITY)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Rows that hold no benchmark item, whatever their ids: a row goes for its own text only, one without an id too."""
+    rows = _numbered(docs)
+    leaks = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

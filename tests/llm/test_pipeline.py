@@ -108,3 +108,20 @@ def test_empty_and_null_rows(spark):
             after = settle(stage(spark, docs, SF), name)
             assert name == "packing" or after.columns == df.columns
             assert after.count() <= docs.count()
+
+
+def test_near_stage_goes_by_row(spark):
+    """Repeated rows, two texts under one id, and rows without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (5, a), (9, a), (5, b), (3, c), (5, c), (None, d), (None, d), (None, a), (None, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, SF)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(5, a), (5, b), (3, c), (None, d), (1, "")]))
+
+
+def test_decontamination_stage_goes_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (None, "clean text"), (4, f"before {item} after"), (4, "clean text"), (4, "clean text"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = dict(corpus_pipeline.STAGES)["decontamination"](spark, df, SF)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(None, "clean text"), (4, "clean text"), (4, "clean text"), (5, None)]))
