@@ -9,7 +9,6 @@ from gridloom.functions import hashing as h
 from gridloom.operators import workload as w
 from gridloom.plans.tables import Tables, query, with_tables
 
-N_KEYS = 15_000
 _PRIME = 1099511628211
 
 
@@ -71,12 +70,12 @@ def w02_zipf(t: Tables) -> DataFrame:
 
 @query()
 def w03_scrambled_zipf(t: Tables) -> DataFrame:
-    return _ids(t).select("req_id", w.scrambled_zipf(_key(), N_KEYS).alias("key_index"))
+    return _ids(t).select("req_id", w.scrambled_zipf(_key(), t.n_keys).alias("key_index"))
 
 
 @query()
 def w04_latest(t: Tables) -> DataFrame:
-    return _ids(t).select("req_id", w.latest(_key(), N_KEYS - 1).alias("key_index"))
+    return _ids(t).select("req_id", w.latest(_key(), t.n_keys - 1).alias("key_index"))
 
 
 @query(with_tables("SELECT CASE WHEN u < 0.5 THEN 'READ' WHEN u < 0.75 THEN 'INSERT' ELSE 'SCAN' END AS op, count(*) AS n FROM u0 GROUP BY op", **_uniform_sql(0, "u0")))
@@ -263,7 +262,7 @@ def w27_mixes(t: Tables) -> DataFrame:
     """The requests of all mixes, one after the other."""
     out = None
     for name, mix in MIXES.items():
-        part = w.mixed_requests(_ids(t), mix, N_KEYS).withColumn("mix", F.lit(name))
+        part = w.mixed_requests(_ids(t), mix, t.n_keys).withColumn("mix", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -291,9 +290,9 @@ def _rank_hotspots(low: float, high: float) -> list[tuple[float, float, float]]:
 @query()
 def w28_rank_hotspot_scans(t: Tables) -> DataFrame:
     """Scans that begin at ranks around eight hotspots; draws beyond the keys are left out."""
-    rank = F.floor(w.mixture_normal(_key(), _rank_hotspots(0, N_KEYS), 0)).cast("long")
+    rank = F.floor(w.mixture_normal(_key(), _rank_hotspots(0, t.n_keys), 0)).cast("long")
     drawn = _ids(t).select("req_id", rank.alias("rank"), w.uniform_int(_key(), 1, 30_000, 5).alias("scan_len"))
-    return drawn.filter(F.col("rank").between(0, N_KEYS - 1))
+    return drawn.filter(F.col("rank").between(0, t.n_keys - 1))
 
 
 @query()

@@ -53,6 +53,10 @@ class Tables:
         k = F.col("s_suppkey").cast("long")
         return self.base("supplier").select(k.alias("qid"), F.col("s_nationkey").cast("double").alias("x"), F.round("s_acctbal", 2).alias("y"), (1 + k % 5).alias("k"))
 
+    @cached_property
+    def n_keys(self) -> int:
+        return self.keys.count()
+
     @cached_property
     def key_range(self) -> tuple[float, float]:
         low, high = self.keys.agg(F.min("key"), F.max("key")).first()

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.plans import catalogue
 
@@ -43,3 +44,12 @@ def test_query_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() >= 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_ranks_are_those_of_the_loaded_keys(spark, sf):
+    path = f"/root/testdata/{sf}"
+    n = spark.read.parquet(f"{path}/orders.parquet").count()
+    for name, column in (("w03_scrambled_zipf", "key_index"), ("w04_latest", "key_index"), ("w27_mixes", "key_index"), ("w28_rank_hotspot_scans", "rank")):
+        low, high = catalogue.QUERIES[name](spark, path).agg(F.min(column), F.max(column)).first()
+        assert 0 <= low and 0.8 * n < high < n, name
