@@ -5,54 +5,97 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folder -> session and, for a bucketed one, its table.
+_written: dict[str, tuple[SparkSession, str | None]] = {}
+#: Bytes of text that one task of a shuffle takes.
+TASK_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local run takes a temporary one;
+    on a cluster that is an error, as executors would write to their own disks."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-"))
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of what is written inside go as soon as it is written, as nothing reads them again."""
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, "false")
+    spark.conf.set(option, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage so that a lost executor costs a re-read and not a recomputation, and it fixes
-    generated ids. The files go when the driver ends.
+    generated ids. The files go with ``discard`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = (spark, None)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
-def settle_by(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
-    """As ``settle``, but dealt to buckets of ``keys`` once, so that each later join or grouping by them reads the
-    buckets as they are and moves nothing."""
-    spark, width = df.sparkSession, shuffle_width(df.sparkSession)
+def settle_by(df: DataFrame, keys: list[str], width: int, name: str = "table") -> DataFrame:
+    """As ``settle``, but dealt to ``width`` buckets of ``keys`` once, so that each later join or grouping by them reads
+    the buckets as they are and moves nothing."""
+    spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{table}"
-    dealt = df.repartition(width, *keys).write.bucketBy(width, *keys).option("compression", "zstd").option("path", path)
-    dealt.saveAsTable(table)
-    _written.append((spark, path))
-    return spark.table(table)
+    _written[path] = (spark, table)
+    with shuffles_freed(spark):
+        dealt = df.repartition(width, *keys).write.bucketBy(width, *keys).option("compression", "zstd").option("path", path)
+        dealt.saveAsTable(table)
+    out = spark.table(table)
+    out._settled = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        _delete(df._settled)
+
+
+def deleted_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder that was written otherwise deleted when the driver ends."""
+    _written[path] = (spark, None)
+
+
+def _delete(path: str) -> None:
+    spark, table = _written.pop(path)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _clear() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path)
         except Exception:  # the session may already be gone
             return
 
@@ -77,6 +120,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def width_for(spark: SparkSession, size: int) -> int:
+    """Partitions for ``size`` bytes: as many as the session asks for, and more where they would hold too much."""
+    return max(shuffle_width(spark), -(-size // TASK_BYTES))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = x ^ (x >> np.uint64(32))

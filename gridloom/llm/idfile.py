@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_by_id, select_text, settle, shared_folder, shuffle_width
+from gridloom.llm.common import deleted_at_end, discard, map_by_id, select_text, settle, shared_folder, shuffles_freed, width_for
 from gridloom.llm.tokens import text_ids
 
 #: Longest code, which is also the width of the decoding table's index.
@@ -196,12 +196,14 @@ def write_id_file(ids: DataFrame, path: str) -> None:
             yield flush()
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
-    ordered = ids.repartitionByRange(shuffle_width(spark), "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
+    width = width_for(spark, 2 * int(counts.sum()))
+    ordered = ids.repartitionByRange(width, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
     # ids are strings on the way through pandas, which would round large integers beside nulls
     blocks = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(encode, _BLOCKS)
     blocks = blocks.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{id_type}>"))
     # the payload is dense already
-    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with shuffles_freed(spark):
+        blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_id_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -249,5 +251,8 @@ def id_file_round_trip(
     they were read. An empty table gives empty files and an empty result. Other columns are ignored.
     """
     path = f"{shared_folder(df.sparkSession)}/id-file-{uuid.uuid4().hex}"
-    write_id_file(encode_documents(df, tokenizer, kind, end_id, id_col, text_col), path)
+    deleted_at_end(df.sparkSession, path)
+    ids = encode_documents(df, tokenizer, kind, end_id, id_col, text_col)
+    write_id_file(ids, path)
+    discard(ids)
     return read_id_file(df.sparkSession, path)

@@ -297,7 +297,7 @@ def duplicate_lines(docs: DataFrame, t: float, chunk: int = CHUNK) -> DataFrame:
         yield pd.DataFrame(out, columns=["bucket", "payload"])
 
     # both searches read the buckets where they are
-    postings = settle_by(docs.mapInPandas(post, "bucket int, payload binary"), ["bucket"], "postings")
+    postings = settle_by(docs.mapInPandas(post, "bucket int, payload binary"), ["bucket"], shuffle_width(spark), "postings")
     pairs = settle(postings.groupBy("bucket").applyInPandas(lambda pdf: _partners(pdf, t, None), _PAIRS), "partners")
     gone = pairs.filter("kind = 0").select("doc_id", "tkey", "line")
     # the likeliest partner of each set over all its tokens is compared first
@@ -394,7 +394,7 @@ def lines_removed(df: DataFrame, t: float = 0.8, chunk: int = CHUNK) -> DataFram
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")).alias("row")
     docs = df.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # texts are moved once: what reads them again by their keys finds them in buckets
-    docs = settle_by(docs.withColumn("tkey", F.xxhash64("text")), ["doc_id", "tkey"], "texts")
+    docs = settle_by(docs.withColumn("tkey", F.xxhash64("text")), ["doc_id", "tkey"], shuffle_width(df.sparkSession), "texts")
     sources = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "tkey")
     gone = duplicate_lines(sources, t, chunk).groupBy("doc_id", "tkey").agg(F.collect_list("line").alias("gone"))
     lines = F.split("text", "\n", -1)

@@ -3,7 +3,8 @@
 A byte-pair tokenizer cuts a text into words first and merges inside words only, so the ids of a text are the ids of
 its words in order. Words are cut here with the tokenizer's own rule for texts made of Latin-1 characters (where the
 rule needs no Unicode tables) and each new word goes through the library's model once; any other text goes through
-the library whole. Both ways give the same ids.
+the library whole, and so does one that holds the string of an added token, which the library looks for before it cuts
+words. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -50,12 +51,14 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # a superset of the texts that hold one, as the library may match before or after it changes case
+        self.holds_added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
         self.cut = re.compile(_RULES[kind]).findall
         self.kind, self.words = kind, _Words(self.library.model)
 
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self.holds_added(text):
             import numpy as np
 
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -15,7 +15,6 @@ from tokenizers import Tokenizer
 
 def token_ids(texts, name, end):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return [np.array(library.encode(t or "", add_special_tokens=False).ids + [end], "<u4") for t in texts]
 
 

@@ -17,7 +17,7 @@ from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.linededup import dedup_lines
 from gridloom.llm.quality import fit, keep_quality, score_quality
 from gridloom.llm.suffix import repeated_passages
-from gridloom.llm.tokens import public_path
+from gridloom.llm.tokens import public_path, text_ids
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, row long, fp long, n long, piece int, set long, lang string"
@@ -93,6 +93,17 @@ def test_packing(docs):
     assert _packed(found) <= brute.best_fit_decreasing([e[2] for e in expected])
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_ids_are_those_of_the_library(name, kind):
+    """Strings of added tokens, in and around words, other scripts, odd spaces: as encode() gives them by default."""
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "  ", "\n", "Word", "été", "'s", "12", "日本", "ǅ", "\u2028", "!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    encode = text_ids(public_path(name), kind)
+    for text, own in zip(texts, brute.token_ids(texts, name, 0), strict=True):
+        assert encode(text) + bytes(4) == own.tobytes()
+
+
 def test_packing_odd_rows(odd, nothing):
     found = packing.pack_documents(odd[0], public_path("byte_bpe_50k.json")).collect()
     assert sorted(str(r["doc_id"]) for r in found) == sorted(str(i) for i, _ in odd[1])
