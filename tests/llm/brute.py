@@ -9,10 +9,15 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import xxhash
 from tokenizers import Tokenizer
 
 
+def table(path):
+    return pq.read_table(path).to_pylist()
+
+
 def token_ids(texts, name, end):
     library = Tokenizer.from_file(public_tokenizers.path(name))
     return [np.array(library.encode(t or "", add_special_tokens=False).ids + [end], "<u4") for t in texts]

@@ -365,12 +365,41 @@ def test_top_k(spark):
     assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == brute.top_k(rows)
 
 
+def _points(n, size, seed):
+    rng = np.random.default_rng(seed)
+    return np.floor(rng.normal(size=(n, size)) * 100)
+
+
+def test_cover_trees_have_levels_and_prune():
+    """Each point is a node once, within the radius of all nodes above; clusters far from each other are not looked at."""
+    rng = np.random.default_rng(7)
+    clustered = np.floor(np.repeat(_points(100, 64, 1) * 3, 40, 0) + rng.normal(size=(4000, 64)) * 3)
+    for points in (clustered, _points(3000, 64, 2), np.repeat(_points(5, 8, 3), 200, 0), _points(1, 3, 4), np.zeros((50, 0))):
+        tree = covertree.Tree.of(points, np.arange(len(points)) * 3)
+        assert sorted(tree.ids.tolist()) == list(range(0, 3 * len(points), 3))
+        for i in range(len(points)):
+            own = tree.points[i : i + tree.size[i]]
+            assert np.sqrt(((own - tree.points[i]) ** 2).sum(1)).max() <= tree.radius[i]
+        again = covertree.Tree.from_bytes(*tree.to_bytes(), *points.shape)
+        assert (again.points == tree.points).all() and (again.kids == tree.kids).all() and (again.ids == tree.ids).all()
+    vectors = np.array([r["embedding"] for r in brute.table(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")])
+    assert covertree.Tree.of(np.floor(vectors * 256), np.arange(len(vectors))).depth > 3
+    x, q = covertree.Tree.of(clustered, np.arange(4000)), covertree.Tree.of(clustered[::40], np.arange(0, 4000, 40))
+    best = covertree.search(q, x, 5)
+    assert best.looked < 0.4 * 100 * 4000
+    score = (q.points @ x.points.T).astype(np.int64)
+    for i in range(100):
+        own = sorted((-s, p) for s, p in zip(score[i].tolist(), x.ids.tolist(), strict=True) if p != q.ids[i])[:5]
+        assert [(-s, p) for s, p in zip(best.score[i].tolist(), best.id[i].tolist(), strict=True)] == own
+
+
 def test_top_k_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(covertree, "DATA_BLOCK", 100)
     monkeypatch.setattr(covertree, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(6)
     rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 3) / 2]) for i in range(400)]
     rows[50] = (50, [0.0, 0.0, 0.0])
+    rows += [(450, [0.5, 0.5, -0.5])]
     rows += [(1000, None), (1001, [1.0, None, 2.0]), (1002, [1.0, float("nan"), 2.0]), (1003, [float("inf"), 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in [*rows, (None, [1.0, 1.0, 1.0])]], "vec_id long, embedding array<double>, id string").repartition(4)
     found = covertree.top_k(df)
@@ -378,6 +407,15 @@ def test_top_k_ties_and_odd_rows(spark, monkeypatch):
     assert covertree.top_k(df.limit(0)).count() == 0
     few = covertree.top_k(df.filter("vec_id in (0, 1, 2)"))
     assert few.count() == 2
+    # numbers whose products exceed doubles and longs, and lengths that differ
+    large = [(0, [2.0**40, 3.0]), (1, [2.0**40, 5.0]), (2, [1e300, 1.0]), (3, [2.0**33 + 1, 7.0]), (50, [1.0]), (51, [2.0]), (100, []), (101, [])]
+    found = covertree.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), scale=1.0)
+    top, low = (1 << 63) - 1, -(1 << 63)
+    expected = []
+    for q, v in large:
+        scores = [(-max(low, min(top, sum(int(a) * int(b) for a, b in zip(v, w, strict=True)))), i) for i, w in large if i != q and len(w) == len(v)]
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])] if q % 50 == 0 else []
+    assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == expected
 
 
 # --- decontamination -----------------------------------------------------------------------------------------------
