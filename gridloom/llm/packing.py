@@ -14,7 +14,11 @@ from gridloom.llm.tokens import text_ids
 
 #: Pieces of one packing problem; a problem is dealt by hash, so all have about this size at any corpus size.
 PROBLEM_PIECES = 2048
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 3, 2, 4, 10
+ISLANDS, EPOCHS, POPULATION, OFFSPRING = 3, 3, 8, 24
+#: Least filled bins of each problem whose pieces are packed anew, together with those of other problems.
+LOOSE = 8
+#: How far each island's first packings stray from descending order.
+STRAY = (0.0, 0.15, 0.5)
 
 
 def token_pieces(
@@ -107,27 +111,57 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     displaced = ~injected & broken[a]
     child = np.where(injected, b + len(broken), a)
     kept = ~displaced
+    items = np.flatnonzero(displaced)
+    items = _replace(child, items[np.argsort(-lengths[items])], kept, lengths, capacity)
     fill = np.bincount(child[kept], lengths[kept]).astype(np.int64)
     bins = _Bins(capacity)
     for bin_ in np.flatnonzero(fill).tolist():
         bins.add(bin_, capacity - int(fill[bin_]))
-    items = np.flatnonzero(displaced)
     order = items[np.argsort(-lengths[items] * rng.uniform(0.9, 1.1, len(items)))]
     _best_fit(lengths.tolist(), order.tolist(), bins, len(fill), child)
     return np.unique(child, return_inverse=True)[1].astype(np.int32)
 
 
-def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], seed: list[int], offspring: int):
+def _replace(child: np.ndarray, items: np.ndarray, kept: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """A displaced item takes the place of a smaller one where it fills that bin best; the smaller one is displaced
+    instead. Changes ``child`` and ``kept`` and returns the items that are displaced then."""
+    placed = np.flatnonzero(kept)
+    bins, size = child[placed].astype(np.int64), lengths[placed]
+    # the largest item that could stand in each one's place
+    most = capacity - np.bincount(bins, size).astype(np.int64)[bins] + size
+    out = []
+    for item in items.tolist():
+        length = int(lengths[item])
+        left = np.where((size < length) & (most >= length), most - length, capacity)
+        at = int(left.argmin())
+        if left[at] >= min(8, length - int(size[at])):
+            out.append(item)
+            continue
+        own = bins[at]
+        out.append(int(placed[at]))
+        kept[placed[at]], kept[item], child[item] = False, True, own
+        most[bins == own] -= length - int(size[at])
+        placed[at], size[at] = item, length
+        most[at] = int(left[at]) + length
+    return np.array(out, np.int64)
+
+
+def evolve(
+    lengths: np.ndarray, capacity: int, population: list[np.ndarray], seed: list[int], offspring: int, stray: float = 0.15
+):
     """Steady-state evolution: each child replaces the worst if it is better. Returns the population, best first.
 
     It ends early only where no packing can be better: as many bins as the total length needs.
     """
     rng = np.random.default_rng(seed)
     least = -int(-(-int(lengths.sum()) // capacity))
-    if not population:
-        population = [best_fit(lengths, capacity, lengths.astype(float))]
-        while len(population) < POPULATION and fitness(population[0], lengths, capacity)[0] < least:
-            population.append(best_fit(lengths, capacity, lengths * rng.uniform(0.85, 1.15, len(lengths))))
+    population = list(population)
+    done = any(fitness(p, lengths, capacity)[0] == least for p in population)
+    while len(population) < POPULATION and not done:
+        order = lengths * rng.uniform(1 - stray, 1 + stray, len(lengths))
+        population.append(best_fit(lengths, capacity, order))
+        done = fitness(population[-1], lengths, capacity)[0] == least
+        stray = max(stray, 0.15)
     scored = sorted(((fitness(p, lengths, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])[::-1]
     for turn in range(offspring):
         if scored[0][0][0] >= least or len(scored) < 2:
@@ -146,37 +180,28 @@ def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], see
 # --- on Spark ----------------------------------------------------------------------------------------------------
 
 
-def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Give pieces (with columns length and others) a sequence_id and an offset.
+_STATE = "problem long, island int, uids array<long>, lengths array<long>, population array<binary>, bins long, even double"
+
 
-    Pieces are written once with a row number, dealt by its hash to problems of about PROBLEM_PIECES pieces, and each
-    problem is evolved on ISLANDS populations; after each epoch an island gets the elite of its neighbour.
+def _evolved(problems: DataFrame, capacity: int) -> DataFrame:
+    """The best packing of each problem (problem, uids, lengths, population): problem, uids, lengths, bins_of.
+
+    Each problem is evolved on ISLANDS populations that start differently; after each epoch an island gets the elite of
+    its neighbour.
     """
-    pieces = settle(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    problems = max(1, -(-pieces.count() // PROBLEM_PIECES))
-    grouped = (
-        pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(problems)).alias("problem"))
-        .groupBy("problem")
-        .agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
-    )
-    state = grouped.select(
-        "problem",
-        F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
-        F.col("items.uid").alias("uids"),
-        F.col("items.length").alias("lengths"),
-        F.array().cast("array<binary>").alias("population"),
-    ).repartition("problem", "island")
+    island = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
+    state = problems.select("problem", island, "uids", "lengths", "population").repartition("problem", "island")
 
     def epoch(number: int):
         def run(batches):
             for pdf in batches:
                 out = []
-                for problem, island, lengths, population in zip(
-                    pdf["problem"], pdf["island"], pdf["lengths"], pdf["population"], strict=True
-                ):
+                columns = ("problem", "island", "lengths", "population")
+                for problem, island, lengths, population in zip(*(pdf[c] for c in columns), strict=True):
                     lengths = np.asarray(lengths, np.int64)
                     own = [np.frombuffer(p, np.int32) for p in population]
-                    best = evolve(lengths, capacity, own, [int(problem), int(island), number], OFFSPRING)
+                    seed = [int(problem), int(island), number]
+                    best = evolve(lengths, capacity, own, seed, OFFSPRING, STRAY[int(island) % len(STRAY)])
                     out.append((fitness(best[0], lengths, capacity), [p.tobytes() for p in best]))
                 pdf["bins"], pdf["even"] = [-o[0][0] for o in out], [o[0][1] for o in out]
                 pdf["population"] = [o[1] for o in out]
@@ -184,9 +209,8 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
         return run
 
-    schema = "problem long, island int, uids array<long>, lengths array<long>, population array<binary>, bins long, even double"
     for number in range(EPOCHS):
-        state = state.select("problem", "island", "uids", "lengths", "population").mapInPandas(epoch(number), schema)
+        state = state.select("problem", "island", "uids", "lengths", "population").mapInPandas(epoch(number), _STATE)
         if number < EPOCHS - 1:
             ring = Window.partitionBy("problem").orderBy("island")
             whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -198,27 +222,82 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
             F.struct("uids", "lengths", F.col("population")[0].alias("bins_of")), F.struct(-F.col("bins"), "even", "island")
         ).alias("best")
     )
+    return best.select("problem", "best.*")
+
+
+def _places(best: DataFrame, capacity: int, loose: int) -> DataFrame:
+    """uid, length, sequence_id and offset of each piece; ``loose`` of each problem's least filled bins are marked."""
 
     def place(batches):
         for pdf in batches:
-            for problem, best in zip(pdf["problem"], pdf["best"], strict=True):
-                lengths = np.asarray(best["lengths"], np.int64)
-                bins = np.frombuffer(best["bins_of"], np.int32)
+            for problem, uids, lengths, bins in zip(*(pdf[c] for c in ("problem", "uids", "lengths", "bins_of")), strict=True):
+                lengths, bins = np.asarray(lengths, np.int64), np.frombuffer(bins, np.int32)
                 order = np.argsort(bins, kind="stable")
-                ends = np.cumsum(lengths[order])
+                start = np.cumsum(lengths[order]) - lengths[order]
                 first = np.r_[True, bins[order][1:] != bins[order][:-1]]
-                start = ends - lengths[order]
-                offset = start - np.repeat(start[first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
+                fill = np.bincount(bins, lengths)
+                is_loose = np.zeros(len(fill), bool)
+                is_loose[np.argsort(np.where(fill > 0, fill, capacity + 1), kind="stable")[:loose]] = True
                 yield pd.DataFrame(
                     {
-                        "uid": np.asarray(best["uids"], np.int64)[order],
+                        "problem": problem,
+                        "uid": np.asarray(uids, np.int64)[order],
+                        "length": lengths[order],
                         "sequence_id": (int(problem) << 20) + bins[order].astype(np.int64),
-                        "offset": offset,
+                        "offset": start - np.repeat(start[first], np.diff(np.r_[np.flatnonzero(first), len(order)])),
+                        "loose": is_loose[bins[order]],
+                    }
+                )
+
+    return best.mapInPandas(place, "problem long, uid long, length long, sequence_id long, offset long, loose boolean")
+
+
+def _numbered(items) -> bytes:
+    """The bins of items, as they are in the first member of a population."""
+    return np.unique([i["bin"] for i in items], return_inverse=True)[1].astype(np.int32).tobytes()
+
+
+def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
+    """Give pieces (with columns length and others) a sequence_id and an offset.
+
+    Pieces are written once with a row number and dealt by its hash to problems of about PROBLEM_PIECES pieces, each
+    evolved on islands. What is lost then is mostly the room in the last bins of each problem, so the LOOSE least filled
+    bins of many problems are put together and evolved once more, starting from the packing that they have.
+    """
+    pieces = settle(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    problems = max(1, -(-pieces.count() // PROBLEM_PIECES))
+    grouped = (
+        pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(problems)).alias("problem"))
+        .groupBy("problem")
+        .agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
+    )
+    nothing = F.array().cast("array<binary>").alias("population")
+    grouped = grouped.select("problem", F.col("items.uid").alias("uids"), F.col("items.length").alias("lengths"), nothing)
+    placed = _places(_evolved(grouped, capacity), capacity, LOOSE if problems > 1 else 0)
+    if problems > 1:
+        placed = settle(placed, "placed")
+        # about as many pieces as in a problem of the first round
+        groups = max(1, -(-placed.filter("loose").count() // PROBLEM_PIECES))
+        again = (
+            placed.filter("loose")
+            .groupBy((F.lit(problems) + F.pmod(F.xxhash64("problem"), F.lit(groups))).alias("problem"))
+            .agg(F.sort_array(F.collect_list(F.struct("uid", "length", F.col("sequence_id").alias("bin")))).alias("items"))
+        )
+
+        def start(batches):
+            for pdf in batches:
+                yield pd.DataFrame(
+                    {
+                        "problem": pdf["problem"],
+                        "uids": [[i["uid"] for i in items] for items in pdf["items"]],
+                        "lengths": [[i["length"] for i in items] for items in pdf["items"]],
+                        "population": [[_numbered(items)] for items in pdf["items"]],
                     }
                 )
 
-    placed = best.mapInPandas(place, "uid long, sequence_id long, offset long")
-    return pieces.join(placed, "uid").drop("uid")
+        again = again.mapInPandas(start, "problem long, uids array<long>, lengths array<long>, population array<binary>")
+        placed = placed.filter("not loose").unionByName(_places(_evolved(again, capacity), capacity, 0))
+    return pieces.join(placed.select("uid", "sequence_id", "offset"), "uid").drop("uid")
 
 
 def pack_documents(

@@ -111,18 +111,36 @@ def test_packing_odd_rows(odd, nothing):
     assert packing.pack_documents(nothing, public_path("byte_bpe_50k.json")).count() == 0
 
 
-def test_evolution_improves_on_best_fit():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evolution_improves_on_best_fit(seed):
+    rng = np.random.default_rng(seed)
     # triples that fill bins exactly, which best fit misses
     a, b = rng.integers(300, 900, 300), rng.integers(300, 500, 300)
     lengths = np.r_[a, b, 2048 - a - b]
     rng.shuffle(lengths)
     start = packing.best_fit(lengths, 2048, lengths.astype(float))
-    best = packing.evolve(lengths, 2048, [], [1], 30)[0]
-    assert packing.fitness(best, lengths, 2048) >= packing.fitness(start, lengths, 2048)
-    assert np.bincount(best, lengths).max() <= 2048
+    best = packing.evolve(lengths, 2048, [], [seed], 60)[0]
+    bins = lambda p: -packing.fitness(p, lengths, 2048)[0]
+    assert bins(start) == brute.best_fit_decreasing(lengths.tolist())
+    assert bins(best) < bins(start)
+    assert len(best) == 900 and np.bincount(best, lengths).max() <= 2048
     child = packing.crossover(start, packing.best_fit(lengths, 2048, rng.random(900)), lengths, 2048, rng)
     assert len(child) == 900 and np.bincount(child, lengths).max() <= 2048
+    # a packing that is given is never lost
+    assert bins(packing.evolve(lengths, 2048, [best], [seed], 0)[0]) <= bins(best)
+
+
+def test_packing_of_many_problems_loses_little_to_one(spark, monkeypatch):
+    """Problems that are packed apart, then their loose bins together: close to what the total length needs."""
+    monkeypatch.setattr(packing, "PROBLEM_PIECES", 128)
+    rng = np.random.default_rng(5)
+    rows = [(i, int(n)) for i, n in enumerate(np.minimum(2048, rng.lognormal(5.5, 1.2, 1500)).astype(int) + 1) if n <= 2048]
+    found = packing.pack_pieces(spark.createDataFrame(rows, "doc_id long, length long").repartition(3), 2048).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in found) == sorted(rows)
+    used, least = _packed(found), -(-sum(n for _, n in rows) // 2048)
+    assert used <= least + 2
+    apart = sum(-(-sum(n for _, n in rows[k::12]) // 2048) for k in range(12))
+    assert used < apart
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
