@@ -25,9 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; a document of which no text stays goes."""
-    cut = lines_removed(docs)
-    kept = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    cut = lines_removed(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    kept = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(kept[c].alias(c) for c in docs.columns))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

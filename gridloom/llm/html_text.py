@@ -29,6 +29,8 @@ BLOCK = {
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "dl", "pre", "table", "figure", "hr", "fieldset"}
 #: Tables in tables beyond this depth are laid out as plain blocks.
 DEEPEST_TABLE = 50
+#: Cells that begin beyond this column span one column.
+MOST_COLUMNS = 1000
 PARTS = {"thead", "tbody", "tfoot"}
 #: A start tag ends an open element of these kinds, unless one of the barrier kinds is in between.
 ENDS = {
@@ -48,11 +50,11 @@ ENDS = {
     "rp": ({"rt", "rp"}, {"ruby"}),
 }
 _HEAD_ONLY = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
-_TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<other>[!?][^>]*>?)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+#: Open elements beyond which further ones hold nothing: what stands in them goes to the one around.
+DEEPEST = 512
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -65,6 +67,41 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
 
+class _Tags:
+    """Tags of a page from left to right. Each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        # where the last of each kind stands, so that a search for one that is missing costs nothing
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def end_of(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends (its ">"), -1 if it is cut off. A ">" in quotes is not an
+        end, unless the quote is never closed."""
+        while (m := _TAG_STOP.search(self.page, at)) and m[0] != ">":
+            if self.last[m[0]] <= m.start():
+                return self.page.find(">", m.start()) if self.last[">"] > m.start() else -1
+            at = self.page.find(m[0], m.start() + 1) + 1
+        return m.start() if m else -1
+
+    def at(self, lt: int) -> tuple[int, str | None, bool, str] | None:
+        """(end, name, whether it is an end tag, attributes) of what begins with the "<" at ``lt``: no name for a comment
+        or declaration, -1 as the end of a tag that is cut off, None for a "<" that begins nothing."""
+        page = self.page
+        if page.startswith("<!--", lt):
+            m = _COMMENT_END.search(page, lt + 4)
+            return (m.end() if m else len(page)), None, False, ""
+        if page.startswith(("<!", "<?"), lt):
+            gt = page.find(">", lt) if self.last[">"] > lt else -1
+            return (gt + 1 or len(page)), None, False, ""
+        m = _NAME.match(page, lt + 1)
+        if not m:
+            cut_off = page.startswith("</", lt) and self.last[">"] < lt
+            return (-1, None, True, "") if cut_off else None
+        gt = self.end_of(m.end())
+        return (gt + 1 or -1), m[2].lower(), bool(m[1]), page[m.end() : gt]
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Missing ends are implied; an end without a start is ignored; what is open at the end ends."""
     root = Node("html", {})
@@ -86,33 +123,31 @@ def parse(page: str) -> Node:
             stack.pop()
         in_head = False
 
+    tags = _Tags(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             text(page[at:])
             break
         text(page[at:lt])
-        m = _TOKEN.match(page, lt)
-        if not m:
-            # a "<" that begins no tag is text; a tag that is cut off at the end of the page is not shown
-            if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] == "/") and page.find(">", lt) < 0:
-                break
-            text("<")
+        found = tags.at(lt)
+        if found is None:
+            text("<")  # it begins no tag
             at = lt + 1
             continue
-        at = m.end()
-        name = m["name"]
+        at, name, is_end, raw = found
+        if at < 0:
+            break  # a tag that is cut off at the end of the page is not shown
         if name is None:
             continue
-        name = name.lower()
-        if m["end"]:
+        if is_end:
             _end(stack, name)
             if name == "head":
                 in_head = False
             continue
         attrs = {}
-        if m["attrs"]:
-            for key, a, b, c in _ATTR.findall(m["attrs"]):
+        if raw:
+            for key, a, b, c in _ATTR.findall(raw):
                 attrs.setdefault(key.lower(), a or b or c)
         if name == "html":
             root.attrs = {**attrs, **root.attrs}
@@ -148,7 +183,8 @@ def parse(page: str) -> Node:
             node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
             at = close.end() if close else n
             continue
-        stack.append(node)
+        if len(stack) < DEEPEST:
+            stack.append(node)
     return root
 
 
@@ -199,7 +235,7 @@ class _Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []
         self.gap = 0
         self.started = False
         self.space = False
@@ -213,21 +249,22 @@ class _Page:
 
     def flush(self) -> None:
         if self.started:
-            self.lines.append(self.line.rstrip())
-        self.line, self.started, self.space = "", False, False
+            self.lines.append("".join(self.line).rstrip())
+        self.line, self.started, self.space = [], False, False
 
     def _start(self) -> None:
         if not self.started:
             if self.lines:
                 self.lines += ["".join(self.prefixes).rstrip()] * self.gap
             self.gap = 0
-            self.line = "".join(self.prefixes)
+            line = "".join(self.prefixes)
             if self.marks:
                 # a list item's mark stands in the room its indent leaves
                 mark = self.marks[-1]
                 if mark:
-                    self.line = self.line[: len(self.line) - len(mark)] + mark
+                    line = line[: len(line) - len(mark)] + mark
                     self.marks[-1] = ""
+            self.line.append(line)
             self.started = True
 
     def words(self, text: str) -> None:
@@ -240,14 +277,14 @@ class _Page:
         lead = folded[0] == " "
         body = folded.strip(" ")
         if (lead or self.space) and self.started:
-            self.line += " "
+            self.line.append(" ")
         self._start()
-        self.line += body
+        self.line.append(body)
         self.space = folded[-1] == " "
 
     def literal(self, line: str) -> None:
         self._start()
-        self.line += line
+        self.line.append(line)
 
     def br(self) -> None:
         if not self.started:
@@ -399,7 +436,7 @@ def _table(table: Node, page: _Page) -> None:
             for child in cell.children:
                 _render(child, inner) if isinstance(child, Node) else inner.words(child)
             inner.flush()
-            span = _span(cell, "colspan")
+            span = _span(cell, "colspan") if col < MOST_COLUMNS else 1
             line[col] = ("\n".join(inner.lines).strip("\n").split("\n"), span)
             down = _span(cell, "rowspan")
             for c in range(col, col + span):

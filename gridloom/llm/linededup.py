@@ -1,375 +1,602 @@
-"""Near-duplicate lines: an exact set-similarity join over line tokens, which removes later matches."""
+"""Near-duplicate lines: an exact set-similarity join over line words, which removes later matches.
+
+A line is the set of its words. Lines of equal sets are found first, by a 128-bit digest; all but the earliest go. The
+others post the words of their prefix, from rare to frequent, to the buckets of these words; there the length, the
+place in the prefix and a parity digest of the set leave few candidates, which are verified by the words themselves.
+Each line first asks for its likeliest earlier partner only, so a dense group costs one candidate for each line and word;
+lines that this partner does not match are then compared with all others.
+"""
 
 from __future__ import annotations
 
-import pickle
+import re
+from copy import copy
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mix64, settle, settle_by, shuffle_width, text_chunks, word_hashes
+from gridloom.llm.common import discard, mix64, settle, settle_by, shuffle_width, text_bytes, text_chunks, width_for
 
-#: Cells that count tokens; tokens in one cell share a count, which affects their order and so the cost, not the result.
+#: Cells that count words; words in one cell share a count, which affects their order and so the cost, not the result.
 CELL_BITS = 23
-#: Bits of a token's hash; the other bits of a word hold the line.
-TOKEN_BITS = 41
-MOST_LINES = 1 << 22
 SEGMENTS = 16
-#: Text for each bucket of tokens, from which the number of buckets follows.
+#: Text for each bucket of words, from which the number of buckets follows.
 BUCKET_TEXT = 6 << 20
+#: Postings that one task takes; the bucket of a word that more lines have is cut into blocks.
+BLOCK = 1 << 18
 #: Characters of text whose lines are posted together.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
+#: Pairs that are compared at once, and postings of a word from which they are compared earliest first.
+PAIRS, LARGE = 1 << 21, 256
+FAR = 1 << 20
 
 
-def _pack(*arrays) -> bytes:
-    import zstandard
+# --- lines as sets of words ----------------------------------------------------------------------------------------
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
+def words_of(line: str) -> set[str]:
+    return set(line.lower().split())
 
-def _unpack(data: bytes):
-    import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+#: White space beyond ASCII, for str.split().
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_IS_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 
 
-# --- sets of tokens ----------------------------------------------------------------------------------------------
+def _hash_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time for all words together."""
+    windows = np.lib.stride_tricks.as_strided(np.r_[data, np.zeros(8, np.uint8)], (len(data) + 1, 8), (1, 1))
+    out, at, factor = size.astype(np.uint64), np.arange(len(start)), np.uint64(0x9FB21C651E98DF25)
+    while len(at):
+        bits = 8 * np.minimum(size, 8).astype(np.uint64)
+        own = windows[start].view("<u8").ravel() & (~np.uint64(0) >> (np.uint64(64) - bits))
+        out[at] = mix64((out[at] ^ own) * factor)
+        more = size > 8
+        at, start, size = at[more], start[more] + 8, size[more] - 8
+    return out
 
 
-def line_tokens(texts: list[str]):
-    """(document, line, token hash of TOKEN_BITS), distinct and sorted, of lower-cased words between white space."""
-    lines, doc, number = [], [], []
-    for i, text in enumerate(texts):
-        own = text.lower().split("\n")
-        lines += [" ".join(x.split()) for x in own]
-        doc += [i] * len(own)
-        number += range(len(own))
-    if len(lines) > MOST_LINES:  # a text of very many lines, in parts
-        parts = [_line_sets(lines[i : i + MOST_LINES]) for i in range(0, len(lines), MOST_LINES)]
-        line = np.concatenate([own + i * MOST_LINES for i, (own, _) in enumerate(parts)])
-        token = np.concatenate([t for _, t in parts])
-    else:
-        line, token = _line_sets(lines)
-    return np.array(doc, np.int64)[line], np.array(number, np.int64)[line], token
+def _by_line(line: np.ndarray, key: np.ndarray, sort):
+    """Apply ``sort`` to (line, key of 44 bits) in one number, for ranges of lines that leave room for the key."""
+    at = 0
+    while at < len(line):
+        to = int(np.searchsorted(line, line[at] + (1 << 20)))
+        yield at, sort(((line[at:to] - line[at]).astype(np.uint64) << np.uint64(44)) | key[at:to])
+        at = to
 
 
-def _line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, token), distinct and in order."""
-    token, line = word_hashes(lines)
-    # line and the hash's top bits in one number, so that one plain sort puts them in order and finds repeats
-    both = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (token >> np.uint64(64 - TOKEN_BITS)))
-    if len(both):
-        both = both[np.r_[True, both[1:] != both[:-1]]]
-    return (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << TOKEN_BITS) - 1)
+def _line_words(texts: list[str], without=None):
+    """(text, line, number of words) of each line that has words, and all their words' hashes, line after line."""
+    whole = "\n".join(texts).lower()
+    if not whole.isascii():
+        whole = _SPACES.sub(" ", whole)
+    data = np.frombuffer(whole.encode(), np.uint8)
+    n_lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    first = np.cumsum(n_lines) - n_lines
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = _IS_SPACE[data]
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    line = np.searchsorted(np.flatnonzero(data == 10), start)
+    if without is not None and any(w is not None for w in without):
+        gone = np.concatenate([f + np.asarray(w, np.int64) for f, w in zip(first, without, strict=True) if w is not None])
+        out = np.zeros(int(n_lines.sum()), bool)
+        out[gone] = True
+        start, end, line = (x[~out[line]] for x in (start, end, line))
+    word = _hash_words(data, start, end - start)
+    order = [at + own for at, own in _by_line(line, word >> np.uint64(20), np.argsort)]
+    order = np.concatenate(order) if order else np.empty(0, np.int64)
+    word, line = word[order], line[order]
+    new = np.r_[True, (word[1:] != word[:-1]) | (line[1:] != line[:-1])] if len(word) else np.empty(0, bool)
+    word, line = word[new], line[new]
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
+    n, line = np.diff(np.r_[begin, len(line)]), line[begin]
+    doc = np.searchsorted(first, line, "right") - 1
+    return doc, (line - first[doc]).astype(np.int32), n, word
+
+
+def _chunks(batches, columns: list[str], chunk: int):
+    """Rows of batches in runs of about ``chunk`` characters: the texts and the given columns."""
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        for lo, hi in text_chunks(texts, chunk):
+            yield texts[lo:hi], *(pdf[c].iloc[lo:hi] for c in columns)
 
 
-def _groups(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Where each line's tokens begin, and the end."""
-    if not len(doc):
-        return np.zeros(1, np.int64)
-    return np.r_[np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]), len(doc)]
+def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
+    """Words of a set of n that must be looked at: any set this similar shares one of them."""
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def set_hashes(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A hash of each set, whatever the order of its tokens."""
-    if len(begin) < 2:
-        return np.empty(0, np.uint64)
-    return mix64(np.add.reduceat(mix64(token ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin[:-1]) + np.diff(begin).astype(np.uint64))
+# --- columns in one value ------------------------------------------------------------------------------------------
 
 
-def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
-    """Tokens of a set of n that must be looked at: any set this similar shares one of them."""
-    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes; long ones are compressed, short ones have next to no overhead."""
+    import zstandard
+
+    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 512 else b"\0" + raw
+
+
+def _unpack(payloads, kinds: str) -> list[np.ndarray]:
+    """The columns of several values, one after the other. kinds: numpy types, separated by spaces."""
+    import zstandard
+
+    types = [np.dtype(k) for k in kinds.split()]
+    width, parts = sum(k.itemsize for k in types), [[np.empty(0, k)] for k in types]
+    for p in payloads:
+        raw = zstandard.ZstdDecompressor().decompress(p[1:]) if p[0] else p[1:]
+        n, at = len(raw) // width, 0
+        for own, k in zip(parts, types, strict=True):
+            own.append(np.frombuffer(raw, k, n, at))
+            at += n * k.itemsize
+    return [np.concatenate(own) for own in parts]
+
+
+def _by_bucket(bucket: np.ndarray, columns) -> list[tuple[int, int, bytes]]:
+    """(bucket, rows, payload) of each bucket that occurs."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+    out = []
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=False):
+        at = order[a:b]
+        out.append((int(bucket[at[0]]), int(b - a), _pack(*(c[at] for c in columns))))
+    return out
 
 
-# --- on Spark ----------------------------------------------------------------------------------------------------
+# --- equal lines ---------------------------------------------------------------------------------------------------
 
+#: A line's digest (two halves), its document's id, text hash and row, and its number.
+_EQUAL = "u8 u8 i8 i8 i8 i4"
 
-def _token_levels(docs: DataFrame) -> np.ndarray:
-    """For each cell the bit length of the number of lines, over all documents, that hold one of its tokens."""
+
+def _later(low, high, doc, key, line):
+    """Which lines come after another one of the same digest: those with a greater (doc, key, line) than its least."""
+    order = np.lexsort((line, key, doc, high, low))
+    new = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = (doc[order] != doc[first]) | (key[order] != key[first]) | (line[order] != line[first])
+    return out
+
+
+def _equal_lines(docs: DataFrame, buckets: int, chunk: int) -> tuple[DataFrame, np.ndarray]:
+    """(uid, line) of lines whose words an earlier line has exactly; for each cell the bit length of the number of lines
+    with one of its words."""
     span = 1 << (CELL_BITS - SEGMENTS.bit_length() + 1)
 
-    def count(batches):
-        cells = np.empty(0, np.int64)
-        counts = np.empty(0, np.int64)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in text_chunks(texts):
-                _, _, token = line_tokens(texts[lo:hi])
-                found, n = np.unique((token >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64), return_counts=True)
-                cells, at = np.unique(np.r_[cells, found], return_inverse=True)
-                counts = np.bincount(at, np.r_[counts, n]).astype(np.int64)
-        edges = np.searchsorted(cells, np.arange(SEGMENTS + 1) * span)
-        yield pd.DataFrame(
-            {
-                "segment": np.arange(SEGMENTS),
-                "payload": [
-                    _pack((cells[a:b] - s * span).astype(np.int32), counts[a:b].astype(np.int64))
-                    for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-                ],
-            }
-        )
+    def digest(batches):
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for texts, uid, doc_id, tkey in _chunks(batches, ["uid", "doc_id", "tkey"], chunk):
+            doc, line, n, word = _line_words(texts)
+            if not len(n):
+                continue
+            total += np.bincount((word >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+            begin = np.cumsum(n) - n
+            low = mix64(np.add.reduceat(mix64(word), begin) + n.astype(np.uint64))
+            high = mix64(np.add.reduceat(mix64(word ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin) + n.astype(np.uint64))
+            uid, doc_id, tkey = (x.to_numpy(np.int64)[doc] for x in (uid, doc_id, tkey))
+            gone = _later(low, high, doc_id, tkey, line)
+            if gone.any():
+                yield _rows([(-1, int(gone.sum()), _pack(uid[gone], line[gone]))])
+            columns = [x[~gone] for x in (low, high, doc_id, tkey, uid, line)]
+            yield _rows(_by_bucket((columns[0] % np.uint64(buckets)).astype(np.int64), columns))
+        cells = np.flatnonzero(total)
+        yield _rows([(-2 - s, n, p) for s, n, p in _by_bucket(cells // span, [(cells % span).astype(np.int32), total[cells]])])
+
+    # the texts are read once for the counts and the digests
+    found = settle(docs.mapInPandas(digest, "bucket int, n long, payload binary"), "digests")
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(span, np.int64)
-        for payload in pdf["payload"]:
-            cells, counts = _unpack(payload)
-            out[cells] += counts
-        levels = np.ceil(np.log2(out + 1)).astype(np.uint8)
-        return pd.DataFrame({"segment": pdf["segment"][:1], "levels": [levels.tobytes()]})
-
-    summed = docs.select("text").mapInPandas(count, "segment int, payload binary").groupBy("segment")
-    rows = summed.applyInPandas(total, "segment int, levels binary").collect()  # 2^CELL_BITS bytes at any corpus size
-    levels = np.zeros(1 << CELL_BITS, np.uint8)
+        cells, counts = _unpack(pdf["payload"], "i4 i8")
+        np.add.at(out, cells, counts)
+        return pd.DataFrame({"segment": [-2 - pdf["bucket"].iloc[0]], "levels": [np.ceil(np.log2(out + 1)).astype(np.uint8).tobytes()]})
+
+    rows = found.filter("bucket < -1").groupBy("bucket").applyInPandas(total, "segment int, levels binary").collect()
+    levels = np.zeros(1 << CELL_BITS, np.uint8)  # 2^CELL_BITS bytes at any corpus size
     for r in rows:
         levels[r["segment"] * span : (r["segment"] + 1) * span] = np.frombuffer(r["levels"], np.uint8)
-    return levels
 
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high, doc_id, tkey, uid, line = _unpack(pdf["payload"], _EQUAL)
+        gone = _later(low, high, doc_id, tkey, line)
+        return pd.DataFrame({"uid": uid[gone], "line": line[gone]})
+
+    def spread(batches):
+        for pdf in batches:
+            uid, line = _unpack(pdf["payload"], "i8 i4")
+            yield pd.DataFrame({"uid": uid, "line": line})
+
+    gone = found.filter("bucket >= 0").groupBy("bucket").applyInPandas(resolve, "uid long, line int")
+    gone = gone.unionByName(found.filter("bucket = -1").select("payload").mapInPandas(spread, "uid long, line int"))
+    gone = settle(gone.groupBy("uid").agg(F.collect_list("line").alias("gone")), "equal")  # at most a text's own lines
+    discard(found)
+    return gone, levels
+
+
+def _rows(rows) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "n", "payload"])
 
-def _bits(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """32 bits of each set, one set for each token."""
-    return np.bitwise_or.reduceat(np.uint32(1) << (token & np.uint64(31)).astype(np.uint32), begin[:-1])
 
+# --- candidates ----------------------------------------------------------------------------------------------------
 
-_PAIRS = (
-    "kind int, bucket int, doc_id long, tkey long, line int, set long, "
-    "other_doc long, other_tkey long, other_line int, other_set long, spare int, more boolean"
-)
+#: A posting: the word within its bucket, the line's document, row and number, its words, the word's place among them
+#: and the parity of the set (each word turns one of 128 bits).
+_POSTING = "u4 i8 i8 i4 u4 u4 u8 u8"
+_PAIRS = "bucket int, uid long, line int, other_uid long, other_line int, far int, more boolean"
 _PAIR_COLUMNS = [x.split()[0] for x in _PAIRS.split(", ")]
 
 
-def _partners(pdf: pd.DataFrame, t: float, only: np.ndarray | None) -> pd.DataFrame:
-    """One bucket: lines that equal an earlier one (kind 0) and pairs that may be similar (kind 1).
+class _Postings:
+    """Postings in order of word and size."""
+
+    def __init__(self, payloads):
+        self.columns = _unpack(payloads, _POSTING)
+        word, _, _, _, n, *_ = self.columns
+        self.take(np.lexsort((n, word)))
+
+    def take(self, at: np.ndarray) -> _Postings:
+        self.columns = [c[at] for c in self.columns]
+        self.word, self.doc, self.uid, self.line, n, pos, self.even, self.odd = self.columns
+        self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
+        # the word and the size in one number, for ranges of sizes
+        self.rank = (self.word.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
+        return self
+
+    def windows(self, other: _Postings, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these the range of the other's postings of the same word whose size allows the similarity."""
+        word = self.word.astype(np.uint64) << np.uint64(32)
+        least, most = np.ceil(t * self.n - 1e-9), np.floor(self.n / t + 1e-9)
+        return (
+            np.searchsorted(other.rank, word | least.astype(np.uint64)),
+            np.searchsorted(other.rank, word | most.astype(np.uint64), "right"),
+        )
+
+
+def _earlier(p: _Postings, a: np.ndarray, q: _Postings, b: np.ndarray) -> np.ndarray:
+    """Whether p's line a may come before q's line b; of equal ids both may, as only the text's hash decides."""
+    same_doc = p.doc[a] == q.doc[b]
+    same_uid = p.uid[a] == q.uid[b]
+    return (p.doc[a] < q.doc[b]) | (same_doc & (~same_uid | (p.line[a] < q.line[b])))
+
 
-    ``only``: the sets whose partners are all wanted; otherwise all sets, each with its likeliest partner for a token
-    (``spare``: common tokens that it may lack and still be similar) and whether there are more.
+def _passing(p: _Postings, a: np.ndarray, q: _Postings, b: np.ndarray, t: float):
+    """Which pairs may be similar, and how many words at least differ.
+
+    At their first common word two sets still need the overlap from there on. Words in one set only are at least as
+    many as differing parities.
     """
-    parts = [_unpack(p) for p in pdf["payload"]]
-    base = np.cumsum([0] + [len(p[0]) for p in parts])[:-1]
-    ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    gone_doc = np.concatenate([p[2] + b for p, b in zip(parts, base, strict=True)])
-    gone_line = np.concatenate([p[3] for p in parts])
-    doc = np.concatenate([p[4] + b for p, b in zip(parts, base, strict=True)])
-    line, token, sets, n, pos, bits, first = (np.concatenate([p[i] for p in parts]) for i in range(5, 12))
-    # of equal sets in a token's group only the earliest line stays
-    order = np.lexsort((line, keys[doc], ids[doc], sets, token))
-    same = np.zeros(len(order), bool)
-    same[1:] = (token[order][1:] == token[order][:-1]) & (sets[order][1:] == sets[order][:-1])
-    # a posting of the earliest line itself, from a repeated row in another chunk, is not a later line
-    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    d, e = doc[order], doc[lead]
-    other = (ids[d] != ids[e]) | (keys[d] != keys[e]) | (line[order] != line[lead])
-    equal = order[same & first[order] & other]
-    order = order[~same]
-    # now by token and size: possible partners of a set are the ones behind it up to size / t
-    order = order[np.lexsort((n[order], token[order]))]
-    tok, size = token[order], n[order].astype(np.int64)
-    _, start, count = np.unique(tok, return_index=True, return_counts=True)
-    group = np.repeat(np.arange(len(start)), count)
-    # the end of a set's partners: sort key of (group, size) against (group, largest size)
-    rank = group * (1 << 32) + size
-    upto = np.searchsorted(rank, group * (1 << 32) + np.floor(size / t + 1e-9).astype(np.int64), "right")
-    todo = upto - np.arange(len(order)) - 1
-    earlier = np.empty(len(doc), np.int64)
-    earlier[np.lexsort((line, keys[doc], ids[doc]))] = np.arange(len(doc))
-    found = []
-    begin = np.r_[0, np.cumsum(todo)]
-    at = 0
-    while at < len(order):
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + (1 << 21), "right")) - 1)
-        k = todo[at:to]
-        x = np.repeat(np.arange(at, to), k)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+    both = p.n[a] + q.n[b]
+    need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+    ok = np.minimum(p.n[a] - p.pos[a], q.n[b] - q.pos[b]) >= need
+    far = np.bitwise_count(p.even[a] ^ q.even[b]).astype(np.int64) + np.bitwise_count(p.odd[a] ^ q.odd[b])
+    return ok & (far <= both - 2 * need), far
+
+
+def _slices(size: np.ndarray):
+    """Ranges of elements whose sizes add up to about PAIRS."""
+    end, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + PAIRS, "right")))
+        yield at, to
         at = to
-        a, b = order[x], order[y]
-        na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
-        need = np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
-        most = np.minimum(np.minimum(na - pos[a], nb - pos[b]), np.minimum(na, nb) - (na == nb))
-        most = np.minimum(most, na - np.bitwise_count(bits[a] & ~bits[b]))
-        most = np.minimum(most, nb - np.bitwise_count(bits[b] & ~bits[a]))
-        ok = most >= need
-        a, b, most = a[ok], b[ok], (most - need)[ok]
-        swap = earlier[a] > earlier[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        if only is not None:
-            ok = np.isin(sets[b], only)
-            a, b, most = a[ok], b[ok], most[ok]
-        found.append((a, b, most, np.zeros(len(a), bool)))
-        if only is None:
-            found = [_best(found, earlier)]
-    a, b, most, more = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
-    kinds, rows = [(1, doc[b], line[b], sets[b], doc[a], line[a], sets[a], most, more.astype(bool))], []
-    if only is None:
-        none = np.zeros(len(gone_doc) + len(equal), np.int64)
-        d, ln = np.r_[gone_doc, doc[equal]], np.r_[gone_line, line[equal]]
-        kinds.append((0, d, ln, none.view(np.uint64), d, ln, none.view(np.uint64), none, none.astype(bool)))
-    for kind, d, ln, own, other, other_line, other_set, spare, flag in kinds:
-        values = (
-            *(np.full(len(d), x) for x in (kind, int(pdf["bucket"].iloc[0]))),
-            *(ids[d], keys[d], ln, own.view(np.int64)),
-            *(ids[other], keys[other], other_line, other_set.view(np.int64), spare, flag),
-        )
-        rows.append(pd.DataFrame(dict(zip(_PAIR_COLUMNS, values, strict=True))))
-    return pd.concat(rows)
 
 
-def _best(found, earlier: np.ndarray):
-    """For each later posting the partner with most tokens to spare, then the earliest, and whether there are others."""
-    a, b, most, more = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((earlier[a], -most, b))
-    a, b, most, more = a[order], b[order], most[order], more[order]
-    begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, np.int64)
-    several = np.diff(np.r_[begin, len(b)]) > 1
-    more = np.logical_or.reduceat(more, begin) if len(b) else more
-    return a[begin], b[begin], most[begin], more | several
+def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _all_pairs(p: _Postings, q: _Postings, t: float):
+    """(a, b, far): all candidates a in p that may come before b in q."""
+    lo, hi = q.windows(p, t)
+    for x, y in _slices(hi - lo):
+        b, a = np.repeat(np.arange(x, y), (hi - lo)[x:y]), _within(lo[x:y], (hi - lo)[x:y])
+        ok = _earlier(p, a, q, b)
+        a, b = a[ok], b[ok]
+        ok, far = _passing(p, a, q, b, t)
+        yield a[ok], b[ok], far[ok]
+
+
+def _some_pairs(p: _Postings, t: float):
+    """(a, b, far) with an earlier candidate a for each b that has one. Small groups of a word give all their pairs; in
+    large ones lines are compared with the earliest ones first and leave as soon as they have a candidate."""
+    edges = np.flatnonzero(np.r_[True, p.word[1:] != p.word[:-1], True]) if len(p.word) else np.zeros(1, np.int64)
+    count = np.diff(edges)
+    _, hi = p.windows(p, t)
+    self_ = np.arange(len(hi))
+    size = np.where(np.repeat(count > LARGE, count), 0, hi - self_ - 1)
+    for x, y in _slices(size):
+        a = np.repeat(self_[x:y], size[x:y])
+        b = _within(self_[x:y] + 1, size[x:y])
+        ok, far = _passing(p, a, p, b, t)
+        a, b, far = a[ok], b[ok], far[ok]
+        for s, o in ((a, b), (b, a)):
+            ok = _earlier(p, s, p, o)
+            yield s[ok], o[ok], far[ok]
+    for g in np.flatnonzero(count > LARGE):
+        own = np.arange(edges[g], edges[g + 1])
+        own = own[np.lexsort((p.line[own], p.uid[own], p.doc[own]))]
+        open_, at, step = own, 0, 64
+        while at < len(own) and len(open_):
+            first = own[at : at + step]
+            at, step = at + step, min(2 * step, 4096)
+            found = []
+            for x in range(0, len(open_), max(1, PAIRS // len(first))):
+                some = open_[x : x + max(1, PAIRS // len(first))]
+                a, b = np.tile(first, len(some)), np.repeat(some, len(first))
+                ok = (p.n[a] >= t * p.n[b] - 1e-9) & (p.n[b] >= t * p.n[a] - 1e-9) & (a != b) & _earlier(p, a, p, b)
+                a, b = a[ok], b[ok]
+                ok, far = _passing(p, a, p, b, t)
+                a, b, far = a[ok], b[ok], far[ok]
+                yield a, b, far
+                found.append(b)
+            open_ = open_[~np.isin(open_, np.concatenate(found))]
+
+
+def _likeliest(payloads, bucket: int, t: float, split: bool) -> pd.DataFrame:
+    """For each line of one block its likeliest earlier candidate, and whether there may be more. In a split bucket
+    there may be for each line, with (-1) or without a candidate."""
+    p = _Postings(payloads)
+    # a number for each line
+    _, first, line = np.unique(_line_keys(p.uid, p.line)[0], return_index=True, return_inverse=True)
+    large = np.repeat(c := np.diff(np.flatnonzero(np.r_[True, p.word[1:] != p.word[:-1], True])), c) > LARGE if len(line) else np.empty(0, bool)
+    more = np.zeros(len(first), bool)
+    best_far, best = np.full(len(first), FAR, np.int64), np.full(len(first), -1, np.int64)
+    for a, b, far in _some_pairs(p, t):
+        if not len(a):
+            continue
+        to = line[b]
+        # of equally near ones a mixed number decides, so that no line is everyone's partner
+        order = np.lexsort((mix64((line[a].astype(np.uint64) << np.uint64(32)) | to.astype(np.uint64)), far, to))
+        a, b, far, to = a[order], b[order], far[order], to[order]
+        lead = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        other = line[a]
+        more[to] |= large[b]
+        more[to[1:]] |= (to[1:] == to[:-1]) & (other[1:] != other[:-1])
+        t_, f_, o_ = to[lead], far[lead], other[lead]
+        more[t_] |= (best[t_] >= 0) & (best[t_] != o_)
+        better = f_ < best_far[t_]
+        best_far[t_[better]], best[t_[better]] = f_[better], o_[better]
+    at = np.arange(len(first)) if split else np.flatnonzero(best >= 0)
+    partner = first[best[at]] if len(at) else at
+    none = best[at] < 0
+    return pd.DataFrame(
+        {
+            "bucket": np.full(len(at), bucket),
+            "uid": p.uid[first[at]],
+            "line": p.line[first[at]],
+            "other_uid": np.where(none, -1, p.uid[partner]),
+            "other_line": np.where(none, -1, p.line[partner]),
+            "far": best_far[at],
+            "more": more[at] | split,
+        }
+    )
+
+
+def _line_keys(*lines: np.ndarray) -> list[np.ndarray]:
+    """One number for each line, for pairs of arrays (uid, line), ...; equal ones alike in all of them."""
+    uids = np.unique(np.concatenate(lines[::2]))
+    return [np.searchsorted(uids, u) << 32 | n.astype(np.int64) for u, n in zip(lines[::2], lines[1::2], strict=True)]
+
+
+def _open_ones(p: _Postings, o: pd.DataFrame) -> _Postings:
+    """The postings of the open lines (uid, line)."""
+    own, asked = _line_keys(p.uid, p.line, o["uid"].to_numpy(np.int64), o["line"].to_numpy(np.int64))
+    return copy(p).take(np.flatnonzero(np.isin(own, asked)))
+
 
+def _candidates(p: _Postings, q: _Postings, bucket: int, t: float):
+    """All earlier candidates among p for the lines of q."""
+    for a, b, far in _all_pairs(p, q, t):
+        own = pd.DataFrame({"uid": q.uid[b], "line": q.line[b], "other_uid": p.uid[a], "other_line": p.line[a], "far": far})
+        own = own.drop_duplicates(["uid", "line", "other_uid", "other_line"])
+        own["bucket"], own["more"] = bucket, False
+        yield own[_PAIR_COLUMNS]
 
-def duplicate_lines(docs: DataFrame, t: float, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, tkey, line): lines that are similar to an earlier one. docs: doc_id long, text, tkey long."""
+
+def _frame(parts) -> pd.DataFrame:
+    parts = list(parts)
+    return pd.concat(parts) if parts else pd.DataFrame(columns=_PAIR_COLUMNS)
+
+
+def similar_lines(docs: DataFrame, texts: DataFrame, levels: np.ndarray, t: float, buckets: int, chunk: int) -> DataFrame:
+    """(uid, line) of lines similar to an earlier one. docs: uid, doc_id, text and gone (lines left out); texts: the
+    bucketed table of uid, doc_id, tkey and text."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_width(spark), size // BUCKET_TEXT)
-    levels = spark.sparkContext.broadcast(_token_levels(docs))  # 2^CELL_BITS bytes
+    shared = spark.sparkContext.broadcast(levels)  # 2^CELL_BITS bytes
 
     def post(batches):
-        for pdf in batches:
-            pdf = pdf[pdf["doc_id"].notna()].sort_values(["doc_id", "tkey"], kind="stable")
-            texts = pdf["text"].tolist()
-            ids, keys = pdf["doc_id"].to_numpy(np.int64), pdf["tkey"].to_numpy(np.int64)
-            for lo, hi in text_chunks(texts, chunk):
-                yield from _post(texts[lo:hi], ids[lo:hi], keys[lo:hi])
-
-    def _post(texts, ids, keys):
-        doc, line, token = line_tokens(texts)
-        if not len(token):
-            return
-        begin = _groups(doc, line)
-        sets, bits = set_hashes(token, begin), _bits(token, begin)
-        line_doc, line_no, n = doc[begin[:-1]], line[begin[:-1]], np.diff(begin)
-        # rows that are one document (equal id and text) are the same line; other lines with an equal set come later
-        _, first, at = np.unique(sets, return_index=True, return_inverse=True)
-        lead = first[at]
-        same_row = (ids[line_doc] == ids[line_doc[lead]]) & (keys[line_doc] == keys[line_doc[lead]]) & (line_no == line_no[lead])
-        gone = ~same_row
-        rep = np.arange(len(n)) == lead
-        # tokens of each line from rare to frequent
-        level = levels.value[(token >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64)]
-        which = np.repeat(np.arange(len(n)), n)
-        keys_of = (which.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (level.astype(np.uint64) << np.uint64(TOKEN_BITS - 6))
-        ordered = np.sort(keys_of | (token >> np.uint64(6)))
-        level, token = (ordered >> np.uint64(TOKEN_BITS - 6)) & np.uint64(63), ordered & np.uint64((1 << (TOKEN_BITS - 6)) - 1)
-        pos = np.arange(len(token)) - np.repeat(begin[:-1], n)
-        chosen = (pos < np.repeat(prefix_size(n, t), n)) & rep[which]
-        # a cell with a single line holds a token that no other line has
-        chosen &= level > 1
-        token, which, pos = token[chosen], which[chosen], pos[chosen]
-        new = np.r_[True, which[1:] != which[:-1]] if len(which) else np.empty(0, bool)
-        bucket = (mix64(token) % np.uint64(buckets)).astype(np.int64)
-        gone = np.flatnonzero(gone)
-        gone_bucket = (mix64(sets[gone]) % np.uint64(buckets)).astype(np.int64)
-        by, gone_by = np.argsort(bucket, kind="stable"), np.argsort(gone_bucket, kind="stable")
-        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        gone_cut = np.searchsorted(gone_bucket[gone_by], np.arange(buckets + 1))
-        out = []
-        for b in range(buckets):
-            p, g = by[cut[b] : cut[b + 1]], gone[gone_by[gone_cut[b] : gone_cut[b + 1]]]
-            if len(p) + len(g) == 0:
+        for own, uid, doc_id, gone in _chunks(batches, ["uid", "doc_id", "gone"], chunk):
+            doc, line, n, word = _line_words(own, gone.tolist())
+            if not len(n):
                 continue
-            w = which[p]
-            local, own = np.unique(np.r_[line_doc[g], line_doc[w]], return_inverse=True)
-            payload = _pack(
-                ids[local],
-                keys[local],
-                own[: len(g)].astype(np.int32),
-                line_no[g].astype(np.int32),
-                own[len(g) :].astype(np.int32),
-                line_no[w].astype(np.int32),
-                (token[p] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-                sets[w],
-                n[w].astype(np.int32),
-                pos[p].astype(np.int32),
-                bits[w],
-                new[p],
-            )
-            out.append((b, payload))
-        yield pd.DataFrame(out, columns=["bucket", "payload"])
-
-    # both searches read the buckets where they are
-    postings = settle_by(docs.mapInPandas(post, "bucket int, payload binary"), ["bucket"], shuffle_width(spark), "postings")
-    pairs = settle(postings.groupBy("bucket").applyInPandas(lambda pdf: _partners(pdf, t, None), _PAIRS), "partners")
-    gone = pairs.filter("kind = 0").select("doc_id", "tkey", "line")
-    # the likeliest partner of each set over all its tokens is compared first
-    partner = F.struct("spare", "doc_id", "tkey", "line", "other_doc", "other_tkey", "other_line", "other_set")
-    first = (
-        pairs.filter("kind = 1")
-        .groupBy("set")
-        .agg(F.max(partner).alias("p"), (F.bool_or("more") | (F.min("other_set") != F.max("other_set"))).alias("more"))
-        .select("set", "p.*", "more")
+            begin = np.cumsum(n) - n
+            bit = np.uint64(1) << (word & np.uint64(63))
+            half = (word >> np.uint64(6)) & np.uint64(1) == 1
+            even = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), begin)
+            odd = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), begin)
+            # each line's words from rare to frequent; of the words 38 bits remain, which may only make more candidates
+            which = np.repeat(np.arange(len(n)), n)
+            level = shared.value[(word >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+            word = np.concatenate([x for _, x in _by_line(which, (level << np.uint64(38)) | (word >> np.uint64(26)), np.sort)])
+            level, word = (word >> np.uint64(38)) & np.uint64(63), word & np.uint64((1 << 38) - 1)
+            pos = np.arange(len(which)) - begin[which]
+            # a cell with a single line holds a word that no other line has
+            chosen = (pos < prefix_size(n, t)[which]) & (level > 1)
+            which, pos, word = which[chosen], pos[chosen], word[chosen]
+            bucket = (mix64(word) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((which, word))
+            which, pos, word, bucket = which[order], pos[order], word[order], bucket[order]
+            d = doc[which]
+            columns = [
+                word.astype(np.uint32),
+                *(x.to_numpy(np.int64)[d] for x in (doc_id, uid)),
+                line[which],
+                n[which].astype(np.uint32),
+                pos.astype(np.uint32),
+                even[which],
+                odd[which],
+            ]
+            yield _rows(_by_bucket(bucket, columns))
+
+    postings = docs.mapInPandas(post, "bucket int, n long, payload binary")
+    postings = settle(postings.withColumn("chunk", F.monotonically_increasing_id()), "postings")
+    # buckets of more than BLOCK postings, of very frequent words, are cut into blocks of whole payloads
+    sizes = postings.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1")
+    sizes = settle(sizes, "blocks")  # at most a row for BLOCK postings
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = postings.join(sizes, "bucket", "left").select(
+        "bucket", F.pmod(F.xxhash64("chunk"), blocks).cast("int").alias("block"), "payload", (blocks > 1).alias("split")
     )
-    first = settle(first, "first")
-    similar = settle(_similar(first, docs, t), "similar")
-    # sets that it does not match, though there are more partners, are compared with all of them
-    open_ = first.filter("more").select("set").join(similar.select("set"), "set", "left_anti")
-    open_ = settle(pairs.filter("kind = 1").select("bucket", "set").distinct().join(open_, "set"), "open")
-    if not open_.isEmpty():
-        rest = postings.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInPandas(
-            lambda p, o: _partners(p, t, o["set"].to_numpy(np.int64).view(np.uint64))
-            if len(p) and len(o)
-            else pd.DataFrame(columns=_PAIR_COLUMNS),
-            _PAIRS,
-        )
-        similar = similar.unionByName(_similar(settle(rest.filter("kind = 1"), "rest"), docs, t))
-    return gone.unionByName(similar.select("doc_id", "tkey", "line")).distinct()
-
 
-def _tokens(raw: bytes) -> np.ndarray:
-    """Tokens of 41 bits that are written as 4 and 2 bytes each."""
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.uint32, n) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    def likeliest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _likeliest(pdf["payload"], int(pdf["bucket"].iloc[0]), t, bool(pdf["split"].iloc[0]))
 
-
-def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """The later lines of pairs whose Jaccard similarity is t or more, by their token sets."""
-    columns = ["set", "doc_id", "tkey", "line", "other_set", "other_doc", "other_tkey", "other_line"]
-    pairs = pairs.select(columns).dropDuplicates(["set", "other_set"])
-    wanted = (
-        pairs.select("doc_id", "tkey", "line")
-        .union(pairs.select("other_doc", "other_tkey", "other_line"))
-        .groupBy("doc_id", "tkey")
-        .agg(F.collect_set("line").alias("lines"))
+    pairs = settle(dealt.groupBy("bucket", "block").applyInPandas(likeliest, _PAIRS), "partners")
+    mixed = F.xxhash64("uid", "other_uid", "other_line").alias("mixed")
+    first = pairs.groupBy("uid", "line").agg(
+        F.min(F.struct("far", mixed, "other_uid", "other_line")).alias("p"),
+        (F.bool_or("more") | (F.min(mixed) != F.max(mixed))).alias("more"),
     )
+    first = settle(first.select("uid", "line", "p.other_uid", "p.other_line", "more"), "first")
+    similar = settle(_verified(first.filter("other_uid >= 0"), texts, t), "similar")
+    # lines that it does not match, though there may be more partners, are compared with all of them
+    open_ = first.filter("more").select("uid", "line").join(similar, ["uid", "line"], "left_anti")
+    open_ = settle(pairs.select("bucket", "uid", "line").distinct().join(open_, ["uid", "line"]), "open")
+    discard(pairs, first)
+    if not open_.isEmpty():
+        rest = settle(_rest(postings, dealt, sizes, open_, t), "rest")
+        more = settle(_verified(rest, texts, t), "similar")
+        similar = similar.unionByName(more)
+        discard(rest)
+    discard(postings, sizes, open_)
+    return similar
+
+
+def _rest(postings: DataFrame, dealt: DataFrame, sizes: DataFrame, open_: DataFrame, t: float) -> DataFrame:
+    """All candidates of the open lines (bucket, uid, line)."""
+
+    def whole(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(o):
+            return pd.DataFrame(columns=_PAIR_COLUMNS)
+        own = _Postings(p["payload"])
+        return _frame(_candidates(own, _open_ones(own, o), int(p["bucket"].iloc[0]), t))
+
+    alone = open_.join(sizes, "bucket", "left_anti")
+    found = dealt.filter("not split").groupBy("bucket").cogroup(alone.groupBy("bucket")).applyInPandas(whole, _PAIRS)
+    if sizes.isEmpty():
+        return found
+
+    # in a split bucket the open lines' postings go to all its blocks
+    asked = open_.join(sizes, "bucket")
+
+    def pick(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(o):
+            return pd.DataFrame(columns=["bucket", "payload"])
+        asks = _open_ones(_Postings(p["payload"]), o)
+        return pd.DataFrame({"bucket": p["bucket"].iloc[:1], "payload": [_pack(*asks.columns)]})
+
+    def meet(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(o):
+            return pd.DataFrame(columns=_PAIR_COLUMNS)
+        return _frame(_candidates(_Postings(p["payload"]), _Postings(o["payload"]), int(p["bucket"].iloc[0]), t))
+
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    split = dealt.filter("split")
+    lines = asked.select("bucket", everywhere, "uid", "line")
+    asks = split.groupBy("bucket", "block").cogroup(lines.groupBy("bucket", "block")).applyInPandas(pick, "bucket int, payload binary")
+    asks = asks.join(sizes, "bucket").select("bucket", everywhere, "payload")
+    met = split.groupBy("bucket", "block").cogroup(asks.groupBy("bucket", "block")).applyInPandas(meet, _PAIRS)
+    return found.unionByName(met)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """(uid, line) of pairs whose words have a Jaccard similarity of t or more, the other line being the earlier one."""
+    pairs = pairs.select("uid", "line", "other_uid", "other_line").distinct()
+    ends = pairs.select("uid", "line").union(pairs.select("other_uid", "other_line"))
+    wanted = ends.groupBy("uid").agg(F.collect_set("line").alias("lines"))  # at most a text's own lines
 
     def read(batches):
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in text_chunks(texts):
-                # only the lines asked for are read, each as a text of its own
-                lines = [x[i] for text, own in zip(texts[lo:hi], pdf["lines"].iloc[lo:hi], strict=True) for x in [text.split("\n")] for i in own]
-                doc, line, token = line_tokens(lines)
-                begin = _groups(doc, line)
-                sets = set_hashes(token, begin).view(np.int64)
-                low, high = token.astype(np.uint32), (token >> np.uint64(32)).astype(np.uint16)
-                rows = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                yield pd.DataFrame({"set": sets, "tokens": rows})
-
-    sets = docs.join(wanted, ["doc_id", "tkey"]).select("text", "lines")
-    sets = sets.mapInPandas(read, "set long, tokens binary").dropDuplicates(["set"])
-    both = pairs.join(sets, "set").join(
-        sets.select(F.col("set").alias("other_set"), F.col("tokens").alias("other_tokens")), "other_set"
-    )
+            out = []
+            for uid, doc_id, tkey, text, lines in zip(*(pdf[c] for c in ("uid", "doc_id", "tkey", "text", "lines")), strict=True):
+                own = text.split("\n")
+                out += [(uid, k, doc_id, tkey, " ".join(sorted(words_of(own[k])))) for k in lines]
+            yield pd.DataFrame(out, columns=["uid", "line", "doc_id", "tkey", "words"])
+
+    lines = texts.join(wanted, "uid").select("uid", "doc_id", "tkey", "text", "lines")
+    lines = settle(lines.mapInPandas(read, "uid long, line int, doc_id long, tkey long, words string"), "lines")
+    left = lines.select("uid", "line", F.struct("doc_id", "tkey", "line").alias("at"), "words")
+    right = left.toDF("other_uid", "other_line", "other_at", "other_words")
+    both = pairs.join(right, ["other_uid", "other_line"]).join(left, ["uid", "line"]).filter("other_at < at")
 
     def verify(batches):
         for pdf in batches:
             keep = []
-            for x, y in zip(pdf["tokens"], pdf["other_tokens"], strict=True):
-                a, b = _tokens(x), _tokens(y)
-                common = len(np.intersect1d(a, b, assume_unique=True))
+            for x, y in zip(pdf["words"], pdf["other_words"], strict=True):
+                a, b = set(x.split(" ")), set(y.split(" "))
+                common = len(a & b)
                 keep.append(common >= t * (len(a) + len(b) - common) - 1e-9)
-            yield pdf.loc[keep, ["doc_id", "tkey", "line", "set"]]
+            yield pdf.loc[keep, ["uid", "line"]]
+
+    both = both.select("uid", "line", "words", "other_words")
+    return both.mapInPandas(verify, "uid long, line int").distinct()
 
-    return both.mapInPandas(verify, "doc_id long, tkey long, line int, set long")
+
+# --- whole documents -----------------------------------------------------------------------------------------------
+
+
+def lines_removed(df: DataFrame, t: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """row (all columns of ``df``, which has doc_id and text), text (what stays), n_lines and n_removed, for all rows."""
+    spark = df.sparkSession
+    plain = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    )
+    size = text_bytes(plain)
+    buckets = max(shuffle_width(spark), size // BUCKET_TEXT)
+    numbered = plain.withColumn("tkey", F.xxhash64("text")).withColumn("uid", F.monotonically_increasing_id())
+    # texts are moved once, by their row's number: what reads them again finds them in buckets of equal size
+    docs = settle_by(numbered, ["uid"], width_for(spark, size), "texts")
+    sources = docs.filter("doc_id is not null and text is not null").select("uid", "doc_id", "tkey", "text")
+    # rows equal in id and text are one document, for which its first row stands
+    keys = sources.select("uid", "doc_id", "tkey")
+    repeats = keys.groupBy("doc_id", "tkey").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeats = settle(keys.join(repeats, ["doc_id", "tkey"]).filter("uid <> first").select("uid", "first"), "repeats")
+    repeated = not repeats.isEmpty()
+    if repeated:
+        sources = sources.join(repeats, "uid", "left_anti")
+    equal, levels = _equal_lines(sources, buckets, chunk)
+    rest = sources.join(equal, "uid", "left").select("uid", "doc_id", "text", "gone")
+    similar = similar_lines(rest, sources, levels, t, buckets, chunk)
+    gone = equal.select("uid", F.explode("gone").alias("line")).unionByName(similar)
+    gone = settle(gone.groupBy("uid").agg(F.collect_list("line").alias("gone")), "gone")
+    if repeated:
+        copies = repeats.join(gone.withColumnRenamed("uid", "first"), "first").select("uid", "gone")
+        gone = gone.unionByName(copies)
+
+    def cut(batches):
+        for batch in batches:
+            texts, n_lines, n_removed = [], [], []
+            for text, lines in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                own = [] if text is None else text.split("\n")
+                n_lines.append(len(own))
+                n_removed.append(len(lines or ()))
+                if lines:
+                    out = set(lines)
+                    text = "\n".join(x for k, x in enumerate(own) if k not in out)
+                texts.append(text)
+            columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_lines", "n_removed"])
+
+    row = docs.schema["row"].dataType.simpleString()
+    cut_up = docs.join(gone, "uid", "left").select("row", "text", "gone")
+    return cut_up.mapInArrow(cut, f"row {row}, text string, n_lines long, n_removed long")
 
 
 def dedup_lines(
@@ -382,29 +609,9 @@ def dedup_lines(
     later ones. A line without words stays. Returns doc_id, text (the lines that stay; null stays null), n_lines,
     n_removed. Rows equal in id and text are one document and lose the same lines. A row with a null id is returned as
     it is and is no source for others. A null text has no lines, an empty one has a single line without words.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Ids are whole numbers, or strings of them.
+
+    Lines of equal 128-bit digests are taken for equal; all others are compared by their words.
     """
     named = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return lines_removed(named, t, chunk).select("doc_id", "text", "n_lines", "n_removed")
-
-
-def lines_removed(df: DataFrame, t: float = 0.8, chunk: int = CHUNK) -> DataFrame:
-    """All rows of ``df`` (doc_id, text and any others, none of them called n_lines or n_removed) with the text that
-    stays and the two counts."""
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")).alias("row")
-    docs = df.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # texts are moved once: what reads them again by their keys finds them in buckets
-    docs = settle_by(docs.withColumn("tkey", F.xxhash64("text")), ["doc_id", "tkey"], shuffle_width(df.sparkSession), "texts")
-    sources = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "tkey")
-    gone = duplicate_lines(sources, t, chunk).groupBy("doc_id", "tkey").agg(F.collect_list("line").alias("gone"))
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(
-        F.arrays_zip(lines.alias("t"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")),
-        lambda x: ~F.array_contains("gone", x["i"]),
-    )
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))
-    return docs.join(gone, ["doc_id", "tkey"], "left").select(
-        *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in df.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    return lines_removed(named, t, chunk).select("row.doc_id", "text", "n_lines", "n_removed")

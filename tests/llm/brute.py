@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +19,43 @@ def table(path):
     return pq.read_table(path).to_pylist()
 
 
+class _Visible(HTMLParser):
+    """Words outside hidden elements, by the library's event parser; elements are taken to be closed properly."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.text = [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        style = (own.get("style") or "").replace(" ", "").lower()
+        hidden = tag in ("head", "title", "script", "style", "template", "noembed", "noframes", "iframe", "svg", "object")
+        hidden = hidden or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+        if tag not in ("br", "img", "hr", "meta", "link", "input", "base", "wbr", "col", "source", "track", "area", "embed", "param"):
+            self.stack.append((tag, hidden))
+        self.text.append(" " if tag not in INLINE else "")
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+        self.text.append(" " if tag not in INLINE else "")
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.stack):
+            self.text.append(data)
+
+
+INLINE = ("a", "b", "i", "em", "strong", "span", "code", "u", "small", "sub", "sup", "mark", "abbr", "label", "q", "s", "time", "font", "tt", "cite", "kbd")
+
+
+def visible_words(page):
+    parser = _Visible()
+    parser.feed(page or "")
+    parser.close()
+    return Counter("".join(parser.text).split())
+
+
 def token_ids(texts, name, end):
     library = Tokenizer.from_file(public_tokenizers.path(name))
     return [np.array(library.encode(t or "", add_special_tokens=False).ids + [end], "<u4") for t in texts]
@@ -106,12 +144,14 @@ def alnum_shingles(text, words=5):
     return {tuple(own[i : i + words]) for i in range(len(own) - words + 1)}
 
 
-def contained(docs, items, share=0.8):
-    parts = [(i, alnum_shingles(t)) for i, t in items]
+def contained(docs, items, share=0.8, words=5):
+    """An item of fewer words is one shingle of its own length."""
+    size = {i: min(words, len(re.findall(r"[^\W_]+", (t or "").lower()))) for i, t in items}
+    parts = [(i, alnum_shingles(t, size[i])) for i, t in items if size[i]]
     out = set()
     for d, text in docs:
-        own = alnum_shingles(text)
-        out |= {(d, i, round(len(s & own) / len(s), 9)) for i, s in parts if s and len(s & own) >= share * len(s)}
+        own = {n: alnum_shingles(text, n) for n in {*size.values()} if n}
+        out |= {(d, i, round(len(s & own[size[i]]) / len(s), 9)) for i, s in parts if s and len(s & own[size[i]]) >= share * len(s)}
     return out
 
 

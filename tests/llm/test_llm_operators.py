@@ -4,7 +4,10 @@ repeated rows and clashing column names."""
 import hashlib
 import heapq
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -274,11 +277,31 @@ def test_html(spark):
 
 
 def test_html_keeps_every_visible_word(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    found = html_text.extract_text(pages)
-    assert found.count() == pages.count()
-    assert all("<script" not in (r["text"] or "") for r in found.collect())
-    assert html_text.extract_text(pages.limit(0)).count() == 0
+    """The words of each page, as an event parser sees them; marks of list items come on top."""
+    rows = brute.table("/root/testdata/sf0.01/pages.parquet")
+    found = html_text.extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert len(found) == len(rows)
+    texts = {r["page_id"]: r["text"] for r in found}
+    for r in rows:
+        own, seen = Counter(texts[r["page_id"]].split()), brute.visible_words(r["html"])
+        assert not seen - own
+        assert all(re.fullmatch(r"-|\d+\.", w) for w in own - seen)
+    assert html_text.extract_text(spark.read.parquet(f"{SF}/pages.parquet").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<p" * 200_000, '<a ">' * 60_000, "<a '" * 100_000 + ">x", "<" * 100_000, "</" * 200_000, "<!-" * 100_000, "<ul><li>" * 20_000 + "z", "<div>" * 20_000 + "</x>" * 20_000 + "z", "<b>x</b> " * 50_000, '<table><tr>' + '<td colspan=1000 rowspan=1000>x' * 3_000])
+def test_html_takes_time_in_proportion(page):
+    began = time.perf_counter()
+    html_text.page_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_html_odd_tags():
+    assert html_text.page_text('<p title="a>b">x</p>') == "x"
+    assert html_text.page_text('<p title="a>b<b>y</b>') == "by"  # a quote that is never closed
+    assert html_text.page_text("a < b <3 c") == "a < b <3 c"
+    assert html_text.page_text("x <b class='unfinished") == "x"
+    assert html_text.page_text("x <!-- y") == "x"
 
 
 # --- repeated passages ---------------------------------------------------------------------------------------------
@@ -445,6 +468,7 @@ def test_contaminated(spark, docs):
     df = df.filter("text is null or length(text) < 100000")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bench += [(9001, " ".join((rows[2][1] or "a").split()[:40])), (9002, None), (9003, ""), (9004, "three words here"), (None, "a b c d e f")]
+    bench += [(9005, "w3"), (9006, "The"), (9007, " ".join((rows[2][1] or "a").split()[3:6])), (9008, "été"), (9009, ". - !")]
     items = spark.createDataFrame([(i, t, 1) for i, t in bench], "item_id long, text string, doc_id long")
     found = {(r["doc_id"], r["item_id"], round(r["containment"], 9)) for r in contaminated(df, items).collect()}
     assert found == brute.contained(rows, [(i, t) for i, t in bench if i is not None])
