@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 from gridloom.plans import catalogue
 
 HEADLINE = [
-    "g12_keys_per_cell_numa", "g06_rect_cells", "g10_cooccurrence", "k01_upsert_latest", "k03_lookup", "k04_scan_many", "k07_pages_per_numa",
-    "r11_contains_count", "r11b_overlap_count", "r12_node_accesses", "r14_knn", "r25_split_area", "q01_intersects_count",
+    "g12_keys_per_cell_numa", "g06_rect_cells", "g10_cooccurrence", "k01_upsert_latest", "k03_lookup", "k04_scan_many", "k08_lower_bound",
+    "r11_contains_count", "r11b_overlap_count", "r14_knn", "q01_intersects_count",
     "p04_data_view", "p06_cumulative", "p15_op_latency", "w08_fnv64", "x01_mixed_ops",
 ]
 

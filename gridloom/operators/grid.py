@@ -93,7 +93,7 @@ def choose_cell(members: DataFrame, on: str = "req_id") -> DataFrame:
 
 def route(chosen: DataFrame, placement: DataFrame) -> DataFrame:
     """Requests with the cpu and node that own their cell; placement has a row for each cell."""
-    return chosen.join(F.broadcast(placement), "cid")
+    return chosen.join(placement, "cid")
 
 
 def co_access(members: DataFrame, on: str = "req_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranking import BUCKETS, bounds, bucket_of, global_rank
+from gridloom.operators.ranking import buckets_of, global_rank
 
 #: Entries of a page and its bytes.
 PAGE_ENTRIES, PAGE_BYTES = 255, 4096
@@ -28,17 +28,17 @@ def scan(keys: DataFrame, start, n: int) -> DataFrame:
 
 def lower_bound(probes: DataFrame, keys: DataFrame, probe: str = "key", name: str = "position") -> DataFrame:
     """How many keys are below each probe. Probes and keys meet in value ranges; there is no join on a range."""
-    edges = bounds(keys, "key", BUCKETS)
+    ranges = buckets_of(keys, "key")
     left = probes.select(F.struct("*").alias("_row"), F.col(probe).alias("_k"), F.lit(0).alias("_is_key"))
     right = keys.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col("key").alias("_k"), F.lit(1).alias("_is_key"))
-    both = left.unionByName(right).withColumn("_bucket", bucket_of(F.col("_k"), edges))
+    both = left.unionByName(right).withColumn("_bucket", ranges.of(F.col("_k")))
     sizes = both.groupBy("_bucket").agg(F.sum("_is_key").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
     order = Window.partitionBy("_bucket").orderBy("_k", "_is_key").rowsBetween(Window.unboundedPreceding, -1)
     return (
         both.withColumn("_below", F.coalesce(F.sum("_is_key").over(order), F.lit(0)))
         .filter("_is_key = 0")
-        .join(F.broadcast(before), "_bucket")
+        .join(before, "_bucket")
         .select("_row.*", (F.col("_before") + F.col("_below")).cast("long").alias(name))
     )
 

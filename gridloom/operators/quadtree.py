@@ -35,9 +35,9 @@ def build(objects: DataFrame, box: tuple[float, float, float, float], depth: int
     return objects.withColumn("path", path(box, depth))
 
 
-def objects_in_bound(boxes: DataFrame, objects: DataFrame, grid: int = 64) -> DataFrame:
+def objects_in_bound(boxes: DataFrame, objects: DataFrame) -> DataFrame:
     """(qid, n): objects that touch each box."""
-    return overlap_count(boxes, objects, intersects_closed, grid)
+    return overlap_count(boxes, objects, intersects_closed)
 
 
 def totals(tree: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def place_objects(objects: DataFrame, cells: DataFrame, placement: DataFrame) ->
     """(id, numa): the node of the highest placed cell that an object touches."""
     boxes = cells.select(F.col("cid").alias("qid"), F.col("lx").alias("l"), F.col("hx").alias("r"), F.col("ly").alias("b"), F.col("hy").alias("t"))
     pairs = overlap_pairs(boxes, objects, intersects_closed)
-    owned = pairs.join(F.broadcast(placement.select(F.col("cid").alias("qid"), "numa")), "qid")
+    owned = pairs.join(placement.select(F.col("cid").alias("qid"), "numa"), "qid")
     return owned.groupBy("id").agg(F.max_by("numa", "qid").alias("numa"))
 
 

@@ -7,16 +7,18 @@ A tree is bulk loaded by sort-tile-recursion and held as ``nodes`` (level, node_
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import Rect, area, contains, overlaps_open, rect, squared_distance
+from gridloom.functions.geometry import Rect, area, contains, overlaps_open, rect
 from gridloom.operators.ranking import global_rank
+from gridloom.sources.shared import written
 
 MAX_ENTRIES, MIN_ENTRIES = 50, 20
-#: Cells along each side of the grid that joins rectangles.
-GRID = 64
+#: Objects of a cell of the finest grid, and levels at most: 4^MOST_LEVELS cells.
+OBJECTS_PER_CELL, MOST_LEVELS = 16, 20
 
 
 def _mbr(df: DataFrame, by: list[str]) -> DataFrame:
@@ -41,34 +43,73 @@ def _tile(df: DataFrame, n: int, capacity: int) -> DataFrame:
 
 
 def bulk_load(rects: DataFrame, capacity: int = MAX_ENTRIES) -> tuple[DataFrame, DataFrame]:
-    """(nodes, entries) of rectangles (id, l, r, b, t). Level 0 are the leaves; each level is ``capacity`` times smaller."""
-    entries = _tile(rects, rects.count(), capacity)
-    level, below = 0, _mbr(entries, ["node_id"])
-    nodes, n = None, below.count()
+    """(nodes, entries) of rectangles (id, l, r, b, t). Level 0 are the leaves; each level is ``capacity`` times smaller
+    and written once, as the ones above are made from it."""
+    entries = written(_tile(rects, rects.count(), capacity), "entries")
+    level, nodes, below = 0, None, written(_mbr(entries, ["node_id"]), "level")
     while True:
-        if n > 1:
-            tiled = _tile(below.withColumnRenamed("node_id", "id"), n, capacity)
-            own = tiled.select(
-                F.lit(level).alias("level"), F.col("id").alias("node_id"), F.col("node_id").alias("parent_id"), "l", "r", "b", "t", "n_entries"
-            )
-        else:
-            own = below.select(F.lit(level).alias("level"), "node_id", F.lit(None).cast("long").alias("parent_id"), "l", "r", "b", "t", "n_entries")
+        n = below.count()
+        tiled = written(_tile(below.withColumnRenamed("node_id", "id"), n, capacity), "level") if n > 1 else None
+        parent = F.lit(None).cast("long") if tiled is None else F.col("node_id")
+        own = (below.withColumnRenamed("node_id", "id") if tiled is None else tiled).select(
+            F.lit(level).alias("level"), F.col("id").alias("node_id"), parent.alias("parent_id"), "l", "r", "b", "t", "n_entries"
+        )
         nodes = own if nodes is None else nodes.unionByName(own)
-        if n <= 1:
+        if tiled is None:
             return nodes, entries.select("id", F.col("node_id").alias("leaf"), "l", "r", "b", "t")
-        below = _mbr(tiled.drop("n_entries"), ["node_id"])
-        n, level = math.ceil(n / capacity) if n > capacity else 1, level + 1
-        n = below.count()
+        below, level = written(_mbr(tiled.drop("n_entries"), ["node_id"]), "level"), level + 1
 
 
-def _cover(df: DataFrame, box: tuple[float, float, float, float], grid: int) -> DataFrame:
-    """df with every grid cell (_x, _y) that its rectangle touches."""
-    low_x, high_x, low_y, high_y = box
-    dx, dy = max((high_x - low_x) / grid, 1e-9), max((high_y - low_y) / grid, 1e-9)
-    at = lambda c, low, d: F.least(F.greatest(F.floor((c - low) / d), F.lit(0)), F.lit(grid - 1))
-    return df.withColumn("_x", F.explode(F.sequence(at(F.col("l"), low_x, dx), at(F.col("r"), low_x, dx)))).withColumn(
-        "_y", F.explode(F.sequence(at(F.col("b"), low_y, dy), at(F.col("t"), low_y, dy)))
-    )
+@dataclass(frozen=True)
+class Grid:
+    """Cells of sizes that double from level to level; the top level is one cell. The finest has about OBJECTS_PER_CELL
+    objects in a cell if they are spread evenly."""
+
+    low_x: float
+    low_y: float
+    width: float
+    height: float
+    top: int
+
+    def size(self, level) -> tuple[Column, Column]:
+        parts = F.pow(F.lit(2.0), level - self.top)
+        return F.lit(self.width) * parts, F.lit(self.height) * parts
+
+    def at(self, x: Column, y: Column, level: Column) -> tuple[Column, Column]:
+        """The cell of a point, which is moved to the nearest cell if it lies outside."""
+        dx, dy = self.size(level)
+        last = F.pow(F.lit(2.0), F.lit(self.top) - level) - 1
+        within = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), last).cast("long")
+        return within((x - self.low_x) / dx), within((y - self.low_y) / dy)
+
+    def own_level(self, low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> Column:
+        """The finest level of which a rectangle is no larger than a cell, so that it touches at most four."""
+        finest = 2.0**-self.top
+        ratio = F.greatest((high_x - low_x) / (self.width * finest), (high_y - low_y) / (self.height * finest), F.lit(1.0))
+        return F.least(F.ceil(F.log2(ratio)), F.lit(self.top)).cast("int")
+
+
+def grid_of(objects: DataFrame) -> Grid:
+    """A grid for objects (l, r, b, t)."""
+    row = objects.agg(F.min("l"), F.max("r"), F.min("b"), F.max("t"), F.count(F.lit(1))).first()
+    low_x, high_x, low_y, high_y = (0.0 if v is None else float(v) for v in row[:4])
+    top = max(0, math.ceil(math.log2(max(1, row[4] / OBJECTS_PER_CELL)) / 2))
+    return Grid(low_x, low_y, max(high_x - low_x, 1e-9), max(high_y - low_y, 1e-9), min(top, MOST_LEVELS))
+
+
+def _levelled(df: DataFrame, grid: Grid) -> DataFrame:
+    return df.withColumn("_own", grid.own_level(F.col("l"), F.col("r"), F.col("b"), F.col("t")))
+
+
+def _cover(df: DataFrame, grid: Grid, others: list[int], name: str) -> DataFrame:
+    """df with the cells (_level, _x, _y) that each rectangle touches at its own level and at each coarser one that the
+    other side has; ``name`` tells whether the level is its own."""
+    levels = F.filter(F.array(*(F.lit(x) for x in others)).cast("array<int>"), lambda x: x > F.col("_own"))
+    out = df.withColumn("_level", F.explode(F.concat(F.array("_own"), levels)))
+    level = F.col("_level")
+    (x0, y0), (x1, y1) = grid.at(F.col("l"), F.col("b"), level), grid.at(F.col("r"), F.col("t"), level)
+    out = out.withColumn("_x", F.explode(F.sequence(x0, x1))).withColumn("_y", F.explode(F.sequence(y0, y1)))
+    return out.withColumn(name, F.col("_level") == F.col("_own")).drop("_own")
 
 
 def extent(df: DataFrame) -> tuple[float, float, float, float]:
@@ -76,21 +117,22 @@ def extent(df: DataFrame) -> tuple[float, float, float, float]:
     return tuple(0.0 if v is None else float(v) for v in row)
 
 
-def overlap_pairs(boxes: DataFrame, objects: DataFrame, predicate=overlaps_open, grid: int = GRID) -> DataFrame:
+def overlap_pairs(boxes: DataFrame, objects: DataFrame, predicate=overlaps_open) -> DataFrame:
     """Pairs of boxes (qid, l, r, b, t) and objects (l, r, b, t, ...) that satisfy ``predicate``.
 
-    Both sides meet in grid cells, an equality join; a pair is taken in the cell of its common low corner only. Objects
-    of the size of a cell are in few cells.
+    Both sides meet in grid cells of the larger one's size, an equality join. A rectangle of any size touches at most
+    four cells at each level, so large ones don't multiply; a pair is taken in the cell of its common low corner only.
     """
-    box = extent(objects)
-    q = boxes.select("qid", *(F.col(c).alias(f"q_{c}") for c in "lrbt"), "l", "r", "b", "t")
-    left = _cover(q, box, grid).drop("l", "r", "b", "t")
-    right = _cover(objects, box, grid)
-    low_x, high_x, low_y, high_y = box
-    dx, dy = max((high_x - low_x) / grid, 1e-9), max((high_y - low_y) / grid, 1e-9)
-    at = lambda c, low, d: F.least(F.greatest(F.floor((c - low) / d), F.lit(0)), F.lit(grid - 1))
-    home = (F.col("_x") == at(F.greatest("l", "q_l"), low_x, dx)) & (F.col("_y") == at(F.greatest("b", "q_b"), low_y, dy))
-    return left.join(right, ["_x", "_y"]).filter(home & predicate(rect(), rect("q_"))).drop("_x", "_y")
+    grid = grid_of(objects)
+    q = _levelled(boxes.select("qid", *(F.col(c).alias(f"q_{c}") for c in "lrbt"), "l", "r", "b", "t"), grid)
+    o = _levelled(objects, grid)
+    levels = lambda df: sorted(r[0] for r in df.select("_own").distinct().collect() if r[0] is not None)
+    left = _cover(q, grid, levels(o), "_q_own").drop("l", "r", "b", "t")
+    right = _cover(o, grid, levels(q), "_o_own")
+    x, y = grid.at(F.greatest("l", "q_l"), F.greatest("b", "q_b"), F.col("_level"))
+    home = (F.col("_q_own") | F.col("_o_own")) & (F.col("_x") == x) & (F.col("_y") == y)
+    pairs = left.join(right, ["_level", "_x", "_y"]).filter(home & predicate(rect(), rect("q_")))
+    return pairs.drop("_level", "_x", "_y", "_q_own", "_o_own")
 
 
 def _counts(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -98,16 +140,16 @@ def _counts(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     return boxes.select("qid").join(counted, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def contains_count(boxes: DataFrame, objects: DataFrame, grid: int = GRID) -> DataFrame:
+def contains_count(boxes: DataFrame, objects: DataFrame) -> DataFrame:
     """(qid, n): objects that contain each box. A box that does not overlap the root strictly counts 0."""
     low_x, high_x, low_y, high_y = extent(objects)
     root = Rect(*(F.lit(v) for v in (low_x, high_x, low_y, high_y)))
-    pairs = overlap_pairs(boxes, objects, contains, grid).filter(overlaps_open(root, rect("q_")))
+    pairs = overlap_pairs(boxes, objects, contains).filter(overlaps_open(root, rect("q_")))
     return _counts(boxes, pairs)
 
 
-def overlap_count(boxes: DataFrame, objects: DataFrame, predicate=overlaps_open, grid: int = GRID) -> DataFrame:
-    return _counts(boxes, overlap_pairs(boxes, objects, predicate, grid))
+def overlap_count(boxes: DataFrame, objects: DataFrame, predicate=overlaps_open) -> DataFrame:
+    return _counts(boxes, overlap_pairs(boxes, objects, predicate))
 
 
 def node_accesses(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,36 +157,51 @@ def node_accesses(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
     return _counts(boxes, overlap_pairs(boxes, nodes.select("level", "node_id", "l", "r", "b", "t")))
 
 
-def nearest(queries: DataFrame, points: DataFrame, grid: int = 32) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
     """(qid, rank, id, dist): the k nearest of points (id, x, y) to each query (qid, x, y, k), ties by id.
 
-    Points are counted in grid cells. From the cells' bounds each query knows a distance within which k points lie,
-    and only the points of cells that begin within it are compared. The table of cells is bounded by grid squared.
+    Points are counted in the cells of all levels of a grid. Each query takes the finest level at which the nine cells
+    around it hold k points; these lie within a distance of about three cells, and only points of the cells within that
+    distance are compared. A query with fewer points around at every level takes all cells of the top level.
     """
-    row = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    low_x, high_x, low_y, high_y = (0.0 if v is None else float(v) for v in row)
-    dx, dy = max((high_x - low_x) / grid, 1e-9), max((high_y - low_y) / grid, 1e-9)
-    at = lambda c, low, d: F.least(F.greatest(F.floor((c - low) / d), F.lit(0)), F.lit(grid - 1))
-    placed = points.withColumn("_c", at(F.col("x"), low_x, dx) * grid + at(F.col("y"), low_y, dy))
-    cells = placed.groupBy("_c").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("b"), F.max("y").alias("t")
-    )
-    q = queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"), "k")
-    far_x = F.greatest(F.abs(F.col("qx") - F.col("l")), F.abs(F.col("qx") - F.col("r")))
-    far_y = F.greatest(F.abs(F.col("qy") - F.col("b")), F.abs(F.col("qy") - F.col("t")))
-    each = q.crossJoin(F.broadcast(cells)).select(
-        "qid", "qx", "qy", "k", "_c", "_n", (far_x * far_x + far_y * far_y).alias("_far"),
-        squared_distance(rect(), F.col("qx"), F.col("qy")).alias("_near"),
-    )
-    upto = Window.partitionBy("qid").orderBy("_far", "_c")
-    whole = Window.partitionBy("qid")
-    enough = F.min(F.when(F.col("_sum") >= F.col("k"), F.col("_far"))).over(whole)
-    open_ = each.withColumn("_sum", F.sum("_n").over(upto)).withColumn("_bound", enough)
-    open_ = open_.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))).select("qid", "qx", "qy", "k", "_c")
-    d = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
+    boxes = points.select("id", "x", "y", *(F.col(c).alias(o) for c, o in (("x", "l"), ("x", "r"), ("y", "b"), ("y", "t"))))
+    grid = grid_of(boxes)
+    every = F.explode(F.sequence(F.lit(0), F.lit(grid.top)))
+    level, x, y = F.col("_level"), F.col("x"), F.col("y")
+
+    def celled(df: DataFrame, x: Column, y: Column) -> DataFrame:
+        at_x, at_y = grid.at(x, y, level)
+        return df.withColumn("_x", at_x).withColumn("_y", at_y)
+
+    # counts of a level are sums of those below, so the points are grouped once
+    cells = celled(points.withColumn("_level", F.lit(0)), x, y).groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("long")
+    cells = cells.withColumn("_level", every).groupBy("_level", up("_x").alias("_x"), up("_y").alias("_y")).agg(F.sum("_n").alias("_n"))
+    q = queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("k").alias("k"))
+    around = celled(q.withColumn("_level", every), F.col("qx"), F.col("qy"))
+    for c in ("_x", "_y"):
+        around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    held = around.join(cells, ["_level", "_x", "_y"]).groupBy("qid", "k", "_level").agg(F.sum("_n").alias("_n"))
+    chosen = held.filter(F.col("_n") >= F.col("k")).groupBy("qid").agg(F.min("_level").alias("_level"))
+    q = q.join(chosen, "qid", "left")
+    few = level.isNull()
+    q = q.withColumn("_few", few).withColumn("_level", F.coalesce(level, F.lit(grid.top)))
+    # the nine cells' farthest corner, seen from the query, which may lie outside the grid
+    at_x, at_y = grid.at(F.col("qx"), F.col("qy"), level)
+    dx, dy = grid.size(level)
+    far = lambda v, low, d, at: F.greatest(F.abs(v - (low + (at - 1) * d)), F.abs(low + (at + 2) * d - v))
+    far_x, far_y = far(F.col("qx"), grid.low_x, dx, at_x), far(F.col("qy"), grid.low_y, dy, at_y)
+    reach = F.sqrt(far_x * far_x + far_y * far_y) * (1 + 1e-9)
+    q = q.withColumn("_reach", F.when(F.col("_few"), F.lit(grid.width + grid.height) + far_x + far_y).otherwise(reach))
+    (x0, y0) = grid.at(F.col("qx") - F.col("_reach"), F.col("qy") - F.col("_reach"), level)
+    (x1, y1) = grid.at(F.col("qx") + F.col("_reach"), F.col("qy") + F.col("_reach"), level)
+    q = q.withColumn("_x", F.explode(F.sequence(x0, x1))).withColumn("_y", F.explode(F.sequence(y0, y1)))
+    used = [F.lit(r[0]) for r in q.select("_level").distinct().collect()] or [F.lit(0)]  # at most those of the grid
+    placed = celled(points.withColumn("_level", F.explode(F.array(*used))), x, y)
+    d = (x - F.col("qx")) * (x - F.col("qx")) + (y - F.col("qy")) * (y - F.col("qy"))
     order = Window.partitionBy("qid").orderBy("_d", "id")
     return (
-        open_.join(placed, "_c")
+        q.join(placed, ["_level", "_x", "_y"])
         .withColumn("_d", d)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= F.col("k"))
@@ -156,7 +213,7 @@ def place_nodes(nodes: DataFrame, cells: DataFrame, placement: DataFrame, predic
     """(level, node_id, numa): nodes that a placed cell (cid, lx, hx, ly, hy) overlaps; the cell with the highest id wins."""
     boxes = cells.select(F.col("cid").alias("qid"), F.col("lx").alias("l"), F.col("hx").alias("r"), F.col("ly").alias("b"), F.col("hy").alias("t"))
     pairs = overlap_pairs(boxes, nodes.select("level", "node_id", "l", "r", "b", "t"), predicate)
-    owned = pairs.join(F.broadcast(placement.select(F.col("cid").alias("qid"), "numa")), "qid")
+    owned = pairs.join(placement.select(F.col("cid").alias("qid"), "numa"), "qid")
     return owned.groupBy("level", "node_id").agg(F.max_by("numa", "qid").alias("numa"))
 
 

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid, workload
 from gridloom.plans.tables import CELLS, SIDE, Tables, query, with_tables
 from gridloom.sources import files
+from gridloom.sources.shared import shared_path
 
 
 def _folder(t: Tables, name: str) -> str:
-    """A new path in the cluster's shared folder, or in a temporary one where none is set."""
-    sc = t.spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return shared_path(t.spark, name)
 
 
 def _text(t: Tables, df: DataFrame, name: str) -> str:

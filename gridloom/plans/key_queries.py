@@ -24,7 +24,7 @@ def rect_cells(t: Tables) -> DataFrame:
 @query(with_tables("SELECT c.cid, p.numa, count(*) AS n FROM key_cells c JOIN placement p USING (cid) GROUP BY ALL", "key_cells", "placement"))
 def g12_keys_per_cell_numa(t: Tables) -> DataFrame:
     counted = grid.cells_histogram(key_cells(t))
-    return counted.join(F.broadcast(t.placement), "cid").select("cid", "numa", "n")
+    return counted.join(t.placement, "cid").select("cid", "numa", "n")
 
 
 @query("SELECT range AS i, CASE WHEN range = 10 THEN 7.5::DOUBLE ELSE 0.5::DOUBLE + ((7.5::DOUBLE - 0.5::DOUBLE) / 10) * range END AS x FROM range(11)")
@@ -39,7 +39,7 @@ def g02_grid_cells(t: Tables) -> DataFrame:
 
 @query(with_tables("SELECT c.*, p.numa, p.cpu FROM cells_2d c JOIN placement p USING (cid)", "cells_2d", "placement"))
 def g03_placed_cells(t: Tables) -> DataFrame:
-    return t.cells_2d.join(F.broadcast(t.placement), "cid")
+    return t.cells_2d.join(t.placement, "cid")
 
 
 @query(with_tables(f"SELECT cid, cid // ({CELLS} // 56 + 1) AS cpu FROM cells_1d", "cells_1d"))
@@ -96,7 +96,7 @@ def g11_pushed_completed(t: Tables) -> DataFrame:
 @query(with_tables("SELECT page, min(numa)::BIGINT AS numa FROM (SELECT *, (row_number() OVER (ORDER BY key) - 1) // 255 AS page FROM keys) JOIN key_cells USING (key) JOIN placement USING (cid) GROUP BY page", "key_cells", "placement"))
 def g13_page_placement(t: Tables) -> DataFrame:
     pages = keyindex.page_layout(t.keys).select("key", "page")
-    owned = pages.join(key_cells(t).select("key", "cid"), "key").join(F.broadcast(t.placement), "cid")
+    owned = pages.join(key_cells(t).select("key", "cid"), "key").join(t.placement, "cid")
     return owned.groupBy("page").agg(F.min("numa").alias("numa"))
 
 
@@ -172,7 +172,7 @@ _PAGED = "SELECT key, value, (row_number() OVER (ORDER BY key) - 1) // 255 AS pa
 @query(with_tables("SELECT key, page, numa FROM paged JOIN key_cells USING (key) JOIN placement USING (cid) WHERE key >= 500 AND key < 2500", "key_cells", "placement", paged=_PAGED))
 def k05_range_pages(t: Tables) -> DataFrame:
     pages = keyindex.range_pages(keyindex.page_layout(t.keys), 500, 2500).select("key", "page")
-    return pages.join(key_cells(t).select("key", "cid"), "key").join(F.broadcast(t.placement), "cid").select("key", "page", "numa")
+    return pages.join(key_cells(t).select("key", "cid"), "key").join(t.placement, "cid").select("key", "page", "numa")
 
 
 @query(with_tables("SELECT key, page FROM (SELECT * FROM paged WHERE key >= 500 ORDER BY key LIMIT 1000) WHERE page > (SELECT min(page) FROM paged WHERE key >= 500)", "keys", paged=_PAGED))
@@ -186,7 +186,7 @@ def k06_moved_pages(t: Tables) -> DataFrame:
 @query(with_tables("SELECT numa, count(DISTINCT page) AS pages FROM paged JOIN key_cells USING (key) JOIN placement USING (cid) GROUP BY numa", "key_cells", "placement", paged=_PAGED))
 def k07_pages_per_numa(t: Tables) -> DataFrame:
     pages = keyindex.page_layout(t.keys).select("key", "page")
-    owned = pages.join(key_cells(t).select("key", "cid"), "key").join(F.broadcast(t.placement), "cid")
+    owned = pages.join(key_cells(t).select("key", "cid"), "key").join(t.placement, "cid")
     return owned.groupBy("numa").agg(F.countDistinct("page").alias("pages"))
 
 
