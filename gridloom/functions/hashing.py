@@ -84,7 +84,7 @@ def zipf_constants(n: int, theta: float, zeta_n: float | None = None) -> tuple[f
 
 
 def zipf(u: Column, n: int, theta: float = 0.99, zeta_n: float | None = None) -> Column:
-    """Rank 0..n-1 of a uniform draw (theta below 1)."""
+    """Rank 0..n-1 of a uniform draw (any positive theta but 1)."""
     zn, eta, alpha = zipf_constants(n, theta, zeta_n)
 
     def rank(u: Column) -> Column:

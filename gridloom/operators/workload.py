@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.hashing import fnv_mod, let, normal, uniform, zipf
+from gridloom.sources.files import read_properties
 
 # Fixed values of the zipfian generator that is scrambled over a fixed item space.
 SCRAMBLED_ITEMS, SCRAMBLED_ZETA, ZIPF_THETA = 10_000_000_000, 26.46902820178302, 0.99
@@ -22,9 +23,10 @@ def uniform_real(key: Column, low: float, high: float, draw: int = 0) -> Column:
     return F.lit(low) + uniform(key, draw) * (high - low)
 
 
-def scrambled_zipf(key: Column, n: int, draw: int = 0) -> Column:
-    rank = zipf(uniform(key, draw), SCRAMBLED_ITEMS + 1, ZIPF_THETA, SCRAMBLED_ZETA)
-    return fnv_mod(rank, n)
+def scrambled_zipf(key: Column, n: int, draw: int = 0, theta: float = ZIPF_THETA) -> Column:
+    """A zipfian rank of a fixed item space, hashed to 0..n-1."""
+    known = SCRAMBLED_ZETA if theta == ZIPF_THETA else None
+    return fnv_mod(zipf(uniform(key, draw), SCRAMBLED_ITEMS + 1, theta, known), n)
 
 
 def latest(key: Column, last: int, theta: float = ZIPF_THETA, draw: int = 0) -> Column:
@@ -80,19 +82,111 @@ class Mix:
     scan_high: int = 100
 
 
-def mixed_requests(ids: DataFrame, mix: Mix, n_keys: int) -> DataFrame:
-    """req_id, op, key_index, scan_len for ids (req_id). Only loaded keys are drawn; "latest" means the highest of them."""
+#: Property of each operation's share, in the order in which operations are chosen, and what a mix's file may leave out.
+SHARES = {"READ": "readproportion", "UPDATE": "updateproportion", "INSERT": "insertproportion", "SCAN": "scanproportion", "READMODIFYWRITE": "readmodifywriteproportion"}
+DEFAULTS = {
+    "readproportion": "0.95", "updateproportion": "0.05", "insertproportion": "0", "scanproportion": "0", "readmodifywriteproportion": "0",
+    "requestdistribution": "uniform", "zipfian_const": "0.99", "minscanlength": "1", "maxscanlength": "1000",
+}
+
+
+def mix_of(properties: dict[str, str]) -> Mix:
+    """A mix from the properties of its file; an empty value counts as 0."""
+    p = DEFAULTS | properties
+    shares = {op: float(p[name] or 0) for op, name in SHARES.items()}
+    return Mix(
+        {op: share for op, share in shares.items() if share > 0},
+        p["requestdistribution"], float(p["zipfian_const"]), int(p["minscanlength"]), int(p["maxscanlength"]),
+    )
+
+
+def read_mix_properties(spark: SparkSession, path: str) -> DataFrame:
+    """mix, key, value of files in folders named mix=<name>."""
+    name = F.regexp_extract("file", "mix=([^/]+)", 1)
+    return read_properties(spark, path).select(name.alias("mix"), "key", "value")
+
+
+def read_mixes(spark: SparkSession, path: str) -> dict[str, Mix]:
+    """The mixes by name. They are parameters: a few properties each."""
+    rows = read_mix_properties(spark, path).collect()
+    names = sorted({r["mix"] for r in rows})
+    return {n: mix_of({r["key"]: r["value"] for r in rows if r["mix"] == n}) for n in names}
+
+
+def _operations(mix: Mix) -> Column:
+    return discrete(uniform(F.col("req_id"), 0), mix.operations)
+
+
+def _scan_length(mix: Mix) -> Column:
+    length = uniform_int(F.col("req_id"), mix.scan_low, mix.scan_high, 2)
+    return F.when(F.col("op") == "SCAN", length).otherwise(F.lit(0)).cast("long")
+
+
+def _key_index(mix: Mix, n_keys: int) -> Column:
     k = F.col("req_id")
     if mix.keys == "uniform":
-        key = uniform_int(k, 0, n_keys - 1, 1)
+        return uniform_int(k, 0, n_keys - 1, 1)
+    if mix.keys == "latest":
+        return latest(k, n_keys - 1, mix.theta, 1)
+    return scrambled_zipf(k, n_keys, 1, mix.theta)
+
+
+def mixed_requests(ids: DataFrame, mixes: dict[str, Mix], n_keys: int) -> DataFrame:
+    """mix, req_id, op, key_index, scan_len of each mix for ids (req_id). Only loaded keys are drawn; "latest" means the
+    highest of them. Draws that mixes have in common are made once."""
+    kinds = {(m.keys, m.theta): m for m in mixes.values()}
+    names = {kind: f"_key{i}" for i, kind in enumerate(kinds)}
+    drawn = ids.select(
+        "req_id", uniform(F.col("req_id"), 0).alias("_op"), uniform(F.col("req_id"), 2).alias("_length"),
+        *(_key_index(m, n_keys).alias(names[kind]) for kind, m in kinds.items()),
+    )
+    length = lambda m: F.lit(m.scan_low) + F.floor(F.col("_length") * (m.scan_high - m.scan_low + 1))
+    requests = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("mix"),
+                discrete(F.col("_op"), m.operations).alias("op"),
+                F.col(names[m.keys, m.theta]).cast("long").alias("key_index"),
+                length(m).cast("long").alias("length"),
+            )
+            for name, m in mixes.items()
+        )
+    )
+    out = drawn.select("req_id", F.explode(requests).alias("r")).select("req_id", "r.*")
+    return out.select("mix", "req_id", "op", "key_index", F.when(F.col("op") == "SCAN", F.col("length")).otherwise(0).alias("scan_len"))
+
+
+#: Draws of a key that is loaded already, before the last one is folded into the loaded keys.
+TRIES = 8
+
+
+def growing_requests(ids: DataFrame, mix: Mix, n_keys: int) -> DataFrame:
+    """As ``mixed_requests`` of one mix, while inserts add keys: each takes the next index, and the other operations draw from the
+    keys there are by then, in the order of req_id.
+
+    Zipfian keys come from a space that has room for twice the inserts to be expected, so that popular keys stay popular;
+    a draw of a key that does not exist yet is repeated.
+    """
+    from gridloom.operators.keyindex import lower_bound
+    from gridloom.operators.ranking import global_rank
+
+    share = mix.operations.get("INSERT", 0) / sum(mix.operations.values())
+    space = n_keys + int(ids.count() * share * 2)
+    chosen = ids.select("req_id", _operations(mix).alias("op"))
+    inserts = global_rank(chosen.filter("op = 'INSERT'"), "req_id", [], "rank")
+    added = inserts.select("req_id", "op", (F.col("rank") - 1 + n_keys).alias("key_index"))
+    k, there = F.col("req_id"), F.col("before") + n_keys
+    others = lower_bound(chosen.filter("op <> 'INSERT'"), inserts.select(F.col("req_id").alias("key")), "req_id", "before")
+    if mix.keys == "uniform":
+        key = F.floor(uniform(k, 1) * n_keys)
     elif mix.keys == "latest":
-        key = latest(k, n_keys - 1, mix.theta, 1)
+        # the distance is drawn for the keys that were loaded
+        key = there - 1 - zipf(uniform(k, 1), n_keys, mix.theta)
     else:
-        key = scrambled_zipf(k, n_keys, 1) if mix.theta == ZIPF_THETA else zipf(uniform(k, 1), n_keys, mix.theta)
-    op = discrete(uniform(k, 0), mix.operations)
-    drawn = ids.select("req_id", op.alias("op"), key.alias("key_index"))
-    length = F.when(F.col("op") == "SCAN", uniform_int(k, mix.scan_low, mix.scan_high, 2)).otherwise(F.lit(0))
-    return drawn.select("req_id", "op", "key_index", length.cast("long").alias("scan_len"))
+        tries = F.array(*(scrambled_zipf(k, space, 3 + i, mix.theta) for i in range(TRIES)))
+        key = F.coalesce(F.get(F.filter(tries, lambda x: x < there), F.lit(0)), F.get(tries, F.lit(TRIES - 1)) % there)
+    drawn = others.select("req_id", "op", key.cast("long").alias("key_index")).unionByName(added)
+    return drawn.select("req_id", "op", "key_index", _scan_length(mix).alias("scan_len"))
 
 
 def box_requests(ids: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataFrame:

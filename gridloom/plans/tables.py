@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELLS, SIDE = 256, 16
-#: Keys drawn by requests, some of which no table holds.
-REQUEST_KEYS = 16_000
 
 
 class Tables:
@@ -57,6 +55,11 @@ class Tables:
     def n_keys(self) -> int:
         return self.keys.count()
 
+    @cached_property
+    def request_keys(self) -> int:
+        """Keys that requests draw from: a fifteenth more than the loaded ones, so that some miss."""
+        return max(1, (int(self.key_range[1]) + 1) * 16 // 15)
+
     @cached_property
     def key_range(self) -> tuple[float, float]:
         low, high = self.keys.agg(F.min("key"), F.max("key")).first()
@@ -91,7 +94,7 @@ class Tables:
         id_ = F.col("event_id").cast("long")
         op = F.create_map(*(F.lit(x) for x in ("view", "READ", "click", "SCAN", "purchase", "INSERT", "signup", "UPDATE", "error", "READMODIFYWRITE")))
         return self.base("events").select(
-            id_.alias("req_id"), "ts", F.try_element_at(op, F.col("event_type")).alias("op"), F.pmod(id_ * 7919, F.lit(REQUEST_KEYS)).alias("key"),
+            id_.alias("req_id"), "ts", F.try_element_at(op, F.col("event_type")).alias("op"), F.pmod(id_ * 7919, F.lit(self.request_keys)).alias("key"),
             (1 + id_ % 100).alias("scan_len"), F.col("user_id").cast("long").alias("value"),
         )
 
@@ -164,7 +167,7 @@ CTE = {
     "cells_1d": f"SELECT cid, low + cid * width AS lx, low + cid * width + width AS hx FROM (SELECT range AS cid FROM range({CELLS})), (SELECT min(key)::DOUBLE AS low, (max(key)::DOUBLE - min(key)::DOUBLE) / {CELLS} AS width FROM keys)",
     "cells_2d": f"SELECT cid, lowx + (cid // {SIDE}) * dx AS lx, lowx + (cid // {SIDE}) * dx + dx AS hx, lowy + (cid % {SIDE}) * dy AS ly, lowy + (cid % {SIDE}) * dy + dy AS hy FROM (SELECT range AS cid FROM range({CELLS})), (SELECT min(l) AS lowx, (max(r) - min(l)) / {SIDE} AS dx, min(b) AS lowy, (max(t) - min(b)) / {SIDE} AS dy FROM rects)",
     "placement": f"SELECT range AS cid, range % 8 AS numa, 12 * (range % 8) + 3 + (range // 8) % 7 AS cpu FROM range({CELLS})",
-    "requests": f"SELECT event_id::BIGINT AS req_id, ts, {_OPS} AS op, (event_id::BIGINT * 7919) % {REQUEST_KEYS} AS key, (1 + event_id % 100)::BIGINT AS scan_len, user_id::BIGINT AS value FROM events",
+    "requests": f"SELECT event_id::BIGINT AS req_id, ts, {_OPS} AS op, (event_id::BIGINT * 7919) % (SELECT ((max(key) + 1) * 16) // 15 FROM keys) AS key, (1 + event_id % 100)::BIGINT AS scan_len, user_id::BIGINT AS value FROM events",
     "node_entries": "SELECT id // 51 AS node_id, id % 51 AS ordinal, l, r, b, t FROM rects QUALIFY count(*) OVER (PARTITION BY id // 51) = 51",
     "probes": "SELECT node_id, l + 2 AS l, r + 5 AS r, b + 1 AS b, t + 4 AS t FROM node_entries WHERE ordinal = 0",
     "pmu": f"SELECT event_id::BIGINT AS sample_id, user_id::BIGINT % 56 AS worker, event_id::BIGINT % 256 AS cell, event_id::BIGINT // 1000 AS slice, {_PMU} FROM events",
@@ -175,7 +178,7 @@ CTE = {
     "rect_cells": "SELECT q.id, c.cid FROM rects q JOIN cells_2d c ON q.l <= c.hx AND c.lx <= q.r AND q.b <= c.hy AND c.ly <= q.t",
 }
 _NEEDS = {
-    "cells_1d": ["keys"], "cells_2d": ["rects"], "node_entries": ["rects"], "probes": ["node_entries"], "key_cells": ["keys", "cells_1d"],
+    "requests": ["keys"], "cells_1d": ["keys"], "cells_2d": ["rects"], "node_entries": ["rects"], "probes": ["node_entries"], "key_cells": ["keys", "cells_1d"],
     "request_cells": ["requests", "cells_1d"], "rect_cells": ["rects", "cells_2d"],
 }
 
