@@ -128,3 +128,9 @@ def matrix(cells: DataFrame, value: str, ny: int, transposed_by: int | None = No
     step = transposed_by or ny
     i, j = (F.col("cid") % step, F.floor(F.col("cid") / step)) if transposed_by else (F.floor(F.col("cid") / step), F.col("cid") % step)
     return cells.select(i.alias("i"), j.alias("j"), value).groupBy("i").pivot("j", list(range(ny))).agg(F.sum(value))
+
+
+def long_views(cells: DataFrame, values: list[str]) -> DataFrame:
+    """(view, cid, value): the named columns of cells, one below the other."""
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).cast("long").alias("value")) for v in values))).alias("x")
+    return cells.select("cid", each).select("x.view", "cid", "x.value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranking import buckets_of
+
 # Fixed order of the sixteen counters.
 COUNTERS = [
     "cycles", "instructions", "l1d_misses", "l1i_misses", "llc_misses", "branch_misses", "memory_misses", "dtlb_miss",
@@ -78,10 +80,30 @@ def operation_stats(latency: DataFrame, op: str = "op", ns: str = "ns") -> DataF
     )
 
 
-def percentiles(latency: DataFrame, points: dict[str, float], op: str = "op", ns: str = "ns", exact: bool = True) -> DataFrame:
-    """Percentiles of latency; exact ones interpolate, others use a bounded sketch."""
-    f = (lambda p: F.percentile(ns, F.lit(p))) if exact else (lambda p: F.percentile_approx(ns, p))
-    return latency.groupBy(op).agg(*(F.round(f(p), 4).alias(name) for name, p in points.items()))
+def percentiles(latency: DataFrame, points: dict[str, float], op: str = "op", ns: str = "ns") -> DataFrame:
+    """Exact interpolated percentiles of latency. Equal values are counted first, and positions come from counts in value
+    ranges, so no task holds all values of an operation."""
+    known = latency.filter(F.col(ns).isNotNull())
+    counts = known.groupBy(op, ns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", buckets_of(known, ns).of(F.col(ns)))
+    sizes = counts.groupBy(op, "_range").agg(F.sum("_n").alias("_size"))
+    whole = Window.partitionBy(op)
+    before = F.sum("_size").over(whole.orderBy("_range")) - F.col("_size")
+    sizes = sizes.select(op, "_range", before.alias("_before"), F.sum("_size").over(whole).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(op, "_range").orderBy(ns)) + F.col("_before")
+    placed = counts.join(sizes, [op, "_range"]).withColumn("_upto", upto)
+
+    def at(place: Column) -> Column:
+        """The value at a position from 0."""
+        return F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col(ns)))
+
+    place = {name: (F.col("_all") - 1) * F.lit(p) for name, p in points.items()}
+    ends = placed.groupBy(op).agg(
+        F.max("_all").alias("_all"),
+        *(at(F.floor(x)).alias(f"_low_{name}") for name, x in place.items()),
+        *(at(F.ceil(x)).alias(f"_high_{name}") for name, x in place.items()),
+    )
+    between = lambda name, x: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (x - F.floor(x))
+    return ends.select(op, *(F.round(between(name, x).cast("double"), 4).alias(name) for name, x in place.items()))
 
 
 def by_status(op: Column, ok: Column) -> Column:

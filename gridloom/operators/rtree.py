@@ -152,6 +152,15 @@ def overlap_count(boxes: DataFrame, objects: DataFrame, predicate=overlaps_open)
     return _counts(boxes, overlap_pairs(boxes, objects, predicate))
 
 
+def range_counts(boxes: DataFrame, objects: DataFrame, storages: dict) -> DataFrame:
+    """(storage, qid, n): every box asked of every storage, which differ in the predicate they answer by."""
+    out = None
+    for name, predicate in storages.items():
+        part = overlap_count(boxes, objects, predicate).withColumn("storage", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("storage", "qid", "n")
+
+
 def node_accesses(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, n): nodes a range query visits. A node lies in its parent, so the visited ones are those that overlap."""
     return _counts(boxes, overlap_pairs(boxes, nodes.select("level", "node_id", "l", "r", "b", "t")))

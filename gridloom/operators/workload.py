@@ -23,6 +23,16 @@ def uniform_real(key: Column, low: float, high: float, draw: int = 0) -> Column:
     return F.lit(low) + uniform(key, draw) * (high - low)
 
 
+def own_value(key: Column) -> Column:
+    """A loaded value that refers to its own key."""
+    return key
+
+
+def drawn_value(key: Column) -> Column:
+    """A loaded value without a meaning, which follows from the key so that a load can be repeated."""
+    return F.pmod(key * 7919 + 17, F.lit(1_000_003))
+
+
 def scrambled_zipf(key: Column, n: int, draw: int = 0, theta: float = ZIPF_THETA) -> Column:
     """A zipfian rank of a fixed item space, hashed to 0..n-1."""
     known = SCRAMBLED_ZETA if theta == ZIPF_THETA else None

@@ -128,6 +128,15 @@ def x04_tumbling_exec(t: Tables) -> DataFrame:
     return snapshots.tumbling(t.stream, "ts", ["cell"], "1 day")
 
 
+_RANKED = "SELECT start, arg_max(cell, (ts, cell)) AS cell, dense_rank() OVER (ORDER BY start) - 1 AS k FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP) AS start FROM stream) GROUP BY start"
+
+
+@query(with_tables(f"SELECT start, cell, (2 * k) % 8 AS rank_a, (2 * k + 1) % 8 AS rank_b FROM ({_RANKED})", "stream"))
+def x05_rank_rotation(t: Tables) -> DataFrame:
+    """The sampled windows with the pair of memory ranks that is programmed in each, one pair after the other."""
+    return snapshots.rotate_ranks(x05_system_samples(t), "start", 8)
+
+
 @query(with_tables("SELECT time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP) AS start, arg_max(cell, (ts, cell)) AS cell FROM stream GROUP BY ALL", "stream"))
 def x05_system_samples(t: Tables) -> DataFrame:
     # ties of the time go to the higher cell

@@ -237,6 +237,17 @@ def q01_intersects_count(t: Tables) -> DataFrame:
     return quadtree.objects_in_bound(t.boxes, t.rects)
 
 
+def _by_storage_sql() -> str:
+    one = lambda body: body[body.index("SELECT qid") :] if body.startswith("WITH") else body
+    return f"SELECT 'rtree' AS storage, * FROM ({one(_count_sql(_OPEN))}) UNION ALL SELECT 'quadtree', * FROM ({one(_count_sql(_CLOSED))})"
+
+
+@query(with_tables(_by_storage_sql(), "boxes", "rects"))
+def x02_range_by_storage(t: Tables) -> DataFrame:
+    """The range requests, each answered by its storage: open overlaps for the one, closed ones for the other."""
+    return rtree.range_counts(t.boxes, t.rects, {"rtree": rtree.overlaps_open, "quadtree": quadtree.intersects_closed})
+
+
 @query(with_tables("SELECT id, l - (r - l) / 2 AS x_low, l + (r - l) / 2 AS x_mid, b - (t - b) / 2 AS y_low, b + (t - b) / 2 AS y_mid FROM rects", "rects"))
 def q02_half_extents(t: Tables) -> DataFrame:
     w, h = (F.col("r") - F.col("l")) / 2, (F.col("t") - F.col("b")) / 2

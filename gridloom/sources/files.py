@@ -37,6 +37,31 @@ def read_placement(spark: SparkSession, path: str) -> DataFrame:
     return both.select("file", F.col("cid").cast("long"), "p.numa", "p.cpu")
 
 
+#: Folders of placements, from the outside in.
+PLACEMENT_KEYS = ["machine", "mode", "workload", "config", "storage"]
+
+
+def write_placements(placements: DataFrame, path: str) -> None:
+    """Append placements (PLACEMENT_KEYS, cid, numa, cpu) by folders; mode tells shipped from learned ones."""
+    placements.write.mode("append").partitionBy(*PLACEMENT_KEYS).parquet(path)
+
+
+def resolve_placement(spark: SparkSession, path: str, machine: str, mode: str, workload: int, config: int, storage: str) -> DataFrame:
+    """cid, numa, cpu of one placement; only its folder is read. Shipped placements hold for any workload."""
+    chosen = {"machine": machine, "mode": mode, "workload": -1 if mode == "shipped" else workload, "config": config, "storage": storage}
+    found = spark.read.parquet(path)
+    for key, value in chosen.items():
+        found = found.filter(F.col(key) == value)
+    return found.select("cid", "numa", "cpu")
+
+
+def read_coefficients(spark: SparkSession, path: str, n: int = 4) -> DataFrame:
+    """file, cid, coef: a file's numbers are ``n`` coefficients for each cell in turn. Files are small: n numbers a cell."""
+    words = _words(spark, path, whole=True).select("file", F.posexplode("words").alias("p", "w"))
+    at = words.select("file", F.floor(F.col("p") / n).cast("long").alias("cid"), (F.col("p") % n).alias("i"), F.col("w").try_cast("double").alias("v"))
+    return at.groupBy("file", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("coef"))
+
+
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
     """file, key, value of ``key=value`` lines; # comments are left out, both sides trimmed, the last of equal keys wins."""
     lines = spark.read.text(path, wholetext=True).select(
@@ -72,6 +97,29 @@ def read_query_view(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("n", F.col("n").cast("long"))
 
 
+def write_data_lines(df: DataFrame, path: str, n_cells: int, n_counters: int = 16) -> None:
+    """Append a data view (head, cell, counters array, samples) as lines: head, the counters of each cell in turn, then the
+    samples of each cell; 0 where there is nothing."""
+    wide = df.groupBy(*HEAD).agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("counters", "samples")))).alias("m"))
+    cells = F.sequence(F.lit(0), F.lit(n_cells - 1))
+    none = F.array(*[F.lit(0.0)] * n_counters)
+    counters = F.flatten(F.transform(cells, lambda c: F.coalesce(F.try_element_at("m", c)["counters"], none)))
+    samples = F.transform(cells, lambda c: F.coalesce(F.try_element_at("m", c)["samples"], F.lit(0)).cast("string"))
+    values = F.concat(F.transform(counters, lambda v: F.coalesce(v, F.lit(0.0)).cast("string")), samples)
+    wide.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in HEAD), F.array_join(values, " ")).alias("value")).write.mode("append").text(path)
+
+
+def read_data_view(spark: SparkSession, path: str, n_cells: int, n_counters: int = 16) -> DataFrame:
+    """config, slice, workload, index, cell, counter, value, samples: a row for each counter of each cell."""
+    rows = _view(spark, path).withColumn("samples", F.expr(f"slice(v, {n_cells * n_counters + 1}, {n_cells})"))
+    at = rows.select(*HEAD, "samples", F.posexplode(F.slice("v", 1, n_cells * n_counters)).alias("p", "value"))
+    cell = F.floor(F.col("p") / n_counters).cast("int")
+    return at.select(
+        *HEAD, cell.alias("cell"), (F.col("p") % n_counters).alias("counter"), F.col("value").cast("double").alias("value"),
+        F.get("samples", cell).cast("long").alias("samples"),
+    )
+
+
 def read_memory_view(spark: SparkSession, path: str, sockets: int = 4, channels: int = 6, links: int = 3) -> DataFrame:
     """config, slice, workload, index, kind (rd, wr, upi_in, upi_out), socket, channel, value of lines of all four groups."""
     rows = _view(spark, path).select(*HEAD, F.posexplode("v").alias("p", "value"))

@@ -57,3 +57,12 @@ def acknowledged(stream: DataFrame, id_: str, shards: int = 1) -> DataFrame:
 
     keyed = stream.withColumn("_shard", F.pmod(F.col(id_), F.lit(shards)).cast("long"))
     return keyed.groupBy("_shard").applyInPandasWithState(move, "shard long, last long", "last long, beyond array<long>", "update", "NoTimeout")
+
+
+def rotate_ranks(samples: DataFrame, start: str, ranks: int) -> DataFrame:
+    """samples (one for each window) with rank_a and rank_b: each sample in turn takes the next pair of ranks."""
+    from gridloom.operators.ranking import global_rank
+
+    numbered = global_rank(samples.withColumn("_at", F.unix_micros(F.col(start).cast("timestamp"))), "_at", [], "_k")
+    first = 2 * (F.col("_k") - 1)
+    return numbered.withColumn("rank_a", first % ranks).withColumn("rank_b", (first + 1) % ranks).drop("_k", "_at")
