@@ -13,9 +13,9 @@ from gridloom.llm.quality import keep_quality
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.tokens import public_path
 
-#: Words of a fingerprint's shingles, differing bits up to which two documents are compared, and the similarity of
-#: five-word shingles asked for. README has the pairs that other values lose.
-NEAR_WORDS, NEAR_BITS, NEAR_SIMILARITY = 2, 13, 0.8
+#: Words of a fingerprint's shingles, fingerprints of a document, differing bits in one of them up to which two documents
+#: are compared, and the similarity of five-word shingles asked for. README has the pairs that other values lose.
+NEAR_WORDS, NEAR_PRINTS, NEAR_BITS, NEAR_SIMILARITY = 2, 3, 7, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     itself, and rows without an id go like any others. Null and empty texts are near-duplicates of each other.
     """
     rows = _numbered(docs)
-    found = near_duplicates(rows, NEAR_WORDS, NEAR_BITS, id_col="_row", similarity=NEAR_SIMILARITY)
+    found = near_duplicates(rows, NEAR_WORDS, NEAR_BITS, id_col="_row", similarity=NEAR_SIMILARITY, prints=NEAR_PRINTS)
     found = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))

@@ -31,7 +31,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    # a root with very many nodes is its own least neighbour, so its side of this join is cut down to the roots' row
+    # a node with very many links meets a single row here, so a partition that it makes large can be split
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
 
 

@@ -167,7 +167,8 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, train_rows: int)
     usable = (
         labels.select(F.col("`doc_id`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
     )
     n = usable.count()
     span = 1 << 20
@@ -185,6 +186,9 @@ def _train(docs: DataFrame, labels: DataFrame, label_col: str, train_rows: int)
         docs.filter("doc_id is not null")
         .join(F.broadcast(chosen), "doc_id")
         .mapInPandas(measure, f"doc_id {kind}, label int, x binary")
+        .groupBy("doc_id")  # one row for each chosen label, however often its id occurs
+        .agg(F.min(F.struct("x", "label")).alias("least"))
+        .select("doc_id", "least.*")
         .toPandas()
         .sort_values(["doc_id", "x"])
     )
@@ -204,7 +208,7 @@ def score_quality(
 
     Scores come from the whole text alone. Labels of ids whose text's crc32 leaves no remainder by 5 are held out.
     Null and empty texts get a score like any other; a null id is not held out and has no label. Labels other than 0
-    and 1 are not used, of several labels of one id one is. Without usable labels each score is 0.5. Repeated rows are
+    and 1 are not used, of several labels of one id the least is, with the least of its texts' statistics. Without usable labels each score is 0.5. Repeated rows are
     scored alike; an empty table gives an empty result; other columns are ignored.
     """
     docs = select_text(df, id_col, text_col)

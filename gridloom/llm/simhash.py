@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_by_id, select_text, settle, shingle_hashes_of, shuffle_width, text_chunks, word_hashes
+from gridloom.llm.common import map_by_id, mix64, select_text, settle, shingle_hashes_of, text_chunks, width_for, word_hashes
 from gridloom.llm.components import connected_components
 
 #: Bytes, not characters, are matched: only these separate words.
@@ -43,9 +43,9 @@ def shingle_hashes(text: str, words: int) -> list[int]:
     return [h(raw[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes) -> int:
     """A bit is 1 if it is set in over half the hashes; no hash: zero."""
-    if not hashes:
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     # int32 sums over contiguous columns
@@ -53,19 +53,27 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(over).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", nodes: bool = False) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each whole text; ``nodes``: also the text's hash as node."""
+def fingerprints(
+    df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", prints: int = 0
+) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each whole text. With ``prints`` also the text's hash as node and
+    so many fingerprints as prints: fp, then others from mixed hashes, which are as good as hashes of another seed."""
     docs = select_text(df, id_col, text_col)
-    if nodes:
+    if prints:
         docs = docs.withColumn("node", F.xxhash64("text"))
+    salts = mix64(np.arange(prints, dtype=np.uint64))
 
     def run(batches):
         for pdf in batches:
-            fps = np.array([fingerprint(shingle_hashes(t, words)) for t in pdf["text"]], np.uint64)
-            own = {"node": pdf["node"]} if nodes else {}
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64), **own})
+            hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in pdf["text"]]
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)})
+            if prints:
+                out["node"] = pdf["node"]
+                rest = [[fingerprint(mix64(h ^ salt)) for salt in salts[1:]] for h in hashes]
+                out["prints"] = [np.r_[fp, np.array(r, np.uint64).view(np.int64)] for fp, r in zip(out["fp"], rest, strict=True)]
+            yield out
 
-    return map_by_id(docs, run, "fp long, node long" if nodes else "fp long")
+    return map_by_id(docs, run, "fp long, node long, prints array<long>" if prints else "fp long")
 
 
 # --- the join ----------------------------------------------------------------------------------------------------
@@ -211,7 +219,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     GROUP is dealt to blocks by hash, and each pair of blocks is a task of its own. Inside the trie nodes of which all
     leaves are within the budget only links that connect them are returned, so dense groups don't become all pairs.
 
-    With a column node (distinct, while fp may repeat) the links are those of nodes, all pairs of them but for large
+    With a column print only fingerprints of one print are compared. With a column node (fp may repeat) the links are those of nodes, all pairs of them but for large
     trie nodes, whose links have true in the column more. With a column component as well, all pairs in those large
     trie nodes are returned that lie in two components.
     """
@@ -220,11 +228,11 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     name = carried[0] if carried else "fp"
     leaves = (_star, _few_or_star, _product_of_many)[len(carried)]
     fields = "a long, b long, more boolean" if len(carried) == 1 else "a long, b long"
-    width = shuffle_width(fps.sparkSession)
 
     def keyed(batches):
         for pdf in batches:
             fp = pdf["fp"].to_numpy(np.int64)
+            of = pdf["print"].to_numpy(np.int32) if "print" in pdf else np.int32(0)
             out = []
             for way, (key, _) in enumerate(ways):
                 out.append(
@@ -232,7 +240,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
                         {
                             "fp": fp,
                             **{c: pdf[c].to_numpy(np.int64) for c in carried},
-                            "way": np.int32(way),
+                            "way": np.broadcast_to(np.int32(way) + of * np.int32(len(ways)), len(fp)),
                             "key": _reorder(fp.view(np.uint64), key).astype(np.int64),
                         }
                     )
@@ -240,7 +248,9 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
             yield pd.concat(out)
 
     with_key = "".join(f"{c} long, " for c in ["fp", *carried]) + "way int, key long"
-    spread = settle(fps.select("fp", *carried).mapInPandas(keyed, with_key), "keys")
+    known = fps.select("fp", *carried, *(["print"] if "print" in fps.columns else []))
+    spread = settle(known.mapInPandas(keyed, with_key), "keys")
+    width = width_for(fps.sparkSession, 64 * spread.count())
     large = spread.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     # a lone fingerprint has no partner in its group
     sized = spread.join(large, ["way", "key"]).withColumn(
@@ -273,7 +283,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     def groups(pdf, edges):
         if not len(pdf):
             return
-        way, fp = pdf["way"].to_numpy(), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        way, fp = pdf["way"].to_numpy() % len(ways), pdf["fp"].to_numpy(np.int64).view(np.uint64)
         same, right = (pdf["i"] == pdf["j"]).to_numpy(), pdf["is_right"].to_numpy(bool)
         values = np.empty(len(fp), np.uint64)
         for w in np.unique(way):
@@ -344,7 +354,7 @@ def _verified(links: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def _similar_links(nodes: DataFrame, texts: DataFrame, budget: int, words: int, similarity: float) -> DataFrame:
-    """(a, b): links of similar nodes with fingerprints within the budget that connect all such nodes.
+    """(a, b): links of similar nodes (fp, print, node) with fingerprints within the budget that connect all such nodes.
 
     All pairs are verified but for those of large trie nodes, of which first only some are. Any other pair of theirs
     matters only if these leave its ends in two components, so only such pairs are verified after that.
@@ -354,7 +364,7 @@ def _similar_links(nodes: DataFrame, texts: DataFrame, budget: int, words: int,
     if found.filter("more").isEmpty():
         return similar
     components = connected_components(similar)
-    apart = nodes.join(components, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
+    apart = nodes.join(components, "node", "left").select("fp", "print", "node", F.coalesce("component", "node").alias("component"))
     rest = settle(fingerprint_links(settle(apart, "apart"), budget).distinct(), "rest")
     return similar.unionByName(_verified(rest, texts, words, similarity))
 
@@ -367,6 +377,7 @@ def near_duplicates(
     text_col: str = "text",
     similarity: float | None = None,
     similar_words: int = 5,
+    prints: int = 1,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id that links of at most ``budget``
     differing bits lead to, itself included.
@@ -375,17 +386,19 @@ def near_duplicates(
     null doc_id gets its component like any other and is not a candidate for its id. Repeated rows share one
     fingerprint and so one component. With ``similarity`` a link of different texts, whether or not their fingerprints
     are equal, also needs that Jaccard similarity of the ``similar_words``-word shingle sets, so that chance links of a
-    very large corpus don't count. An empty table gives an empty result; other columns are ignored.
+    very large corpus don't count; then texts are compared that are near in any of ``prints`` fingerprints. An empty table gives an empty result; other columns are ignored.
     """
     node = "fp" if similarity is None else "node"
-    docs = settle(fingerprints(df, words, id_col, text_col, nodes=similarity is not None), "fingerprints")
-    classes = docs.groupBy(*dict.fromkeys(("fp", node))).agg(F.min("doc_id").alias("least"))
-    classes = settle(classes, "classes")
+    docs = settle(fingerprints(df, words, id_col, text_col, 0 if similarity is None else prints), "fingerprints")
+    least = F.min("doc_id").alias("least")
+    both = [] if similarity is None else [F.min("prints").alias("prints")]  # of one text they are all the same
+    classes = settle(docs.groupBy(node).agg(least, *both), "classes")
     if similarity is None:
         links = fingerprint_links(classes.select("fp"), budget)
     else:
         texts = select_text(df, id_col, text_col).select(F.xxhash64("text").alias("node"), "text")
-        links = _similar_links(classes.select("fp", "node"), texts, budget, similar_words, similarity)
+        nodes = classes.select(F.posexplode("prints").alias("print", "fp"), "node")
+        links = _similar_links(nodes, texts, budget, similar_words, similarity)
     components = settle(connected_components(links), "components").withColumnRenamed("node", "_node")
     labelled = classes.join(components, classes[node] == components["_node"], "left").select(
         F.col(node).alias("_node"), "least", F.coalesce("component", node).alias("component")

@@ -247,11 +247,25 @@ class _Scan:
             order = np.lexsort((start, doc))
             start, end, doc, key = start[order], end[order], doc[order], key[order]
         self.start, self.end, self.doc, self.key = start, end, doc, key
-        self.whole = hash_of(start, end)
-        # a stretch that a smaller document of this chunk has goes without asking; the rest must meet other chunks
-        self.later = self.ids[doc] > self.ids[doc[_first_by(self.whole)]]
+        # a stretch that a smaller document of this chunk has, byte by byte, goes without asking; the rest must meet other
+        # chunks
+        first = _first_by(hash_of(start, end))
+        later = np.flatnonzero(self.ids[doc] > self.ids[doc[first]])
+        self.later = np.zeros(len(start), bool)
+        self.later[later[_equal(self.data, start[later], start[first[later]], end[later] - start[later])]] = True
         self.bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
 
+    def anchors(self):
+        """(bucket and anchor in one number, whether two documents have it, for each stretch its place among these)."""
+        at = np.flatnonzero(~self.later)
+        both = (self.bucket[at].astype(np.uint64) << np.uint64(32)) | (self.key[at] & np.uint64(0xFFFFFFFF))
+        found, first, place = np.unique(both, return_index=True, return_inverse=True)
+        last = len(at) - 1 - np.unique(both[::-1], return_index=True)[1]
+        of = np.full(len(self.start), -1)
+        of[at] = place
+        # stretches are in the order of documents
+        return found, self.ids[self.doc[at[first]]] != self.ids[self.doc[at[last]]], of
+
     def by_bucket(self, chosen: np.ndarray):
         """(bucket, indices) of the chosen stretches, each bucket's in their order."""
         at = np.flatnonzero(chosen)
@@ -261,63 +275,63 @@ class _Scan:
             yield int(self.bucket[at[a]]), at[a:b]
 
 
-def _least_and_most(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each group whether it has more than one value."""
-    n = int(group.max(initial=-1)) + 1
-    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-    np.minimum.at(least, group, value)
-    np.maximum.at(most, group, value)
-    return least < most
-
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the stretches of ``size`` bytes at a and at b are equal."""
+    if not len(a):
+        return np.zeros(0, bool)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    same = data[np.repeat(a, size) + inside] == data[np.minimum(np.repeat(b, size) + inside, len(data) - 1)]
+    return np.logical_and.reduceat(same, np.cumsum(size) - size)
 
-def _first_of(mark: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each element the one with its mark and the smallest id."""
-    order = np.argsort(ids, kind="stable")
-    first = np.empty(len(order), np.int64)
-    first[order] = order[_first_by(mark[order])]
-    return first
 
-
-def _verdicts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of hashed stretches: 1 where a smaller document has the whole stretch, 2 where its passages need a
-    look because the anchor has different stretches in several documents, else 0."""
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of anchors: which of each chunk's several documents, here or elsewhere, have."""
     parts = [_unpack(p) for p in pdf["payload"]]
-    ids = np.concatenate([p[0][np.cumsum(p[1])] for p in parts])
-    key, whole, more = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-    mark = mix64((whole.astype(np.uint64) << np.uint64(32) | key) + more.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    first = _first_of(mark, ids)
-    known = ids > ids[first]
-    _, group = np.unique(key, return_inverse=True)
-    lone = first == np.arange(len(first))
-    several = np.bincount(group[lone], minlength=group.max(initial=-1) + 1) > 1
-    look = ~known & (several & _least_and_most(group, ids))[group]
-    verdict = np.where(known, 1, np.where(look, 2, 0)).astype(np.uint8)
-    ends = np.cumsum([len(p[1]) for p in parts])
-    return pd.DataFrame(
-        {
-            "chunk": pdf["chunk"].to_numpy(),
-            "bucket": pdf["bucket"].to_numpy(),
-            "verdict": [_pack(verdict[e - len(p[1]) : e]) for e, p in zip(ends, parts, strict=True)],
-        }
-    )
+    keys, place, n = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts]), return_inverse=True, return_counts=True)
+    several = n > 1
+    several[place[np.concatenate([p[1] for p in parts])]] = True
+    ends = np.cumsum([len(p[0]) for p in parts])
+    bits = [np.packbits(several[place[e - len(p[0]) : e]]).tobytes() for e, p in zip(ends, parts, strict=True)]
+    return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "several": bits})
 
 
 def _passages(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """One bucket of stretches as bytes: their passages go through the index family in ascending order of documents."""
+    """One bucket of stretches as bytes. Of equal stretches those of later documents go whole; the passages of the others
+    go through the index family in ascending order of documents."""
     parts = [_unpack(p) for p in pdf["payload"]]
     ids, at, n, data = (np.concatenate([p[i] for p in parts]) for i in range(4))
     chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), [len(p[0]) for p in parts])
     size = n.astype(np.int64) + width
     begin = np.cumsum(size) - size
-    order = np.argsort(ids, kind="stable")
+    longest = int(size.max())
+    rows = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(longest + 1, np.uint8)], longest + 1)[begin].copy()
+    rows[np.arange(longest + 1) >= size[:, None]] = 0
+    rows[:, longest] = n + 1  # stretches of different length differ
+    _, group = np.unique(rows.view(f"S{longest + 1}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    first = order[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])]
+    gone = ids > ids[first][group]
+    order = first[np.argsort(ids[first], kind="stable")]
     which, single = _spread(begin[order], (begin + size)[order], width)
     which = order[which]
     hit = seen_before(data, single, ids[which], width)
-    which, place = which[hit], (single - begin[which])[hit] + at[which[hit]]
+    which, place = which[hit], (single - begin[which])[hit]
+    # what holds for a stretch holds for its copies in the same document
+    kept = np.flatnonzero(~gone)
+    kept = kept[np.argsort(group[kept], kind="stable")]
+    many = np.bincount(group[kept], minlength=len(first))
+    start, copies = (np.cumsum(many) - many)[group[which]], many[group[which]]
+    each = np.repeat(start, copies) + np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+    which, place = kept[each], np.repeat(place, copies)
+    chunks = np.r_[chunk[gone], chunk[which]]
+    starts = np.r_[at[gone], (at[which] + place).astype(at.dtype)].astype(np.uint32)
+    lengths = np.r_[n[gone], np.zeros(len(which), np.uint8)]
+    order = np.argsort(chunks, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(chunks[order]) != 0]) if len(order) else []
     out = []
-    for c in np.unique(chunk[which]):
-        own = chunk[which] == c
-        out.append((c, _pack(place[own].astype(np.uint32), np.zeros(int(own.sum()), np.uint8))))
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=False):
+        own = order[a:b]
+        out.append((chunks[own[0]], _pack(starts[own], lengths[own])))
     return pd.DataFrame(out, columns=["chunk", "found"])
 
 
@@ -331,10 +345,9 @@ def repeated_passages(
     with a null id are returned whole and are no source for others. Rows with equal ids are one document here: they
     don't match each other. An empty table gives an empty result; other columns are ignored.
 
-    Documents are written in chunks. Chunks send hashes of their stretches to the buckets of the anchors, which tell
-    them which stretches a smaller document has whole and which need a look; the bytes of these few then go to the
-    buckets for the passage-wise search. All that meets in a bucket is one entry for each chunk and different stretch,
-    and anchors that very many documents have are dealt by passage.
+    Documents are written in chunks. Chunks ask the buckets which anchors of their stretches other documents have too,
+    and send the bytes of these stretches, one for each chunk and different stretch; bytes alone decide what goes.
+    Anchors that very many documents have are dealt by passage. Ids are whole numbers, or strings of them.
     """
     docs = df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -348,52 +361,42 @@ def repeated_passages(
     def ask(batches):
         for pdf in batches:
             for chunk, payload in zip(pdf["chunk"], pdf["payload"], strict=True):
-                scan, out = _Scan(payload, width, hot, buckets), []
-                for bucket, at in scan.by_bucket(~scan.later):
-                    doc, whole = scan.doc[at], scan.whole[at]
-                    local, index = np.unique(doc, return_inverse=True)
-                    out.append(
-                        (
-                            bucket,
-                            chunk,
-                            _pack(
-                                scan.ids[local],
-                                np.diff(index, prepend=0).astype(np.uint8),  # documents in order, so steps of 0 or 1
-                                scan.key[at].astype(np.uint32),
-                                whole.astype(np.uint32),
-                                (whole >> np.uint64(32)).astype(np.uint8),
-                            ),
-                        )
-                    )
+                keys, several, _ = _Scan(payload, width, hot, buckets).anchors()
+                bucket = (keys >> np.uint64(32)).astype(np.int64)
+                edges = np.flatnonzero(np.r_[True, np.diff(bucket) > 0]) if len(bucket) else []
+                out = []
+                for a, b in zip(edges, [*edges[1:], len(bucket)], strict=False):
+                    own = keys[a:b].astype(np.uint32)
+                    out.append((int(bucket[a]), chunk, _pack(np.diff(own, prepend=np.uint32(0)), several[a:b])))
                 yield pd.DataFrame(out, columns=["bucket", "chunk", "payload"])
 
-    verdicts = (
+    answers = (
         chunks.mapInPandas(ask, "bucket int, chunk long, payload binary")
         .groupBy("bucket")
-        .applyInPandas(_verdicts, "chunk long, bucket int, verdict binary")
+        .applyInPandas(_shared, "chunk long, bucket int, several binary")
         .groupBy("chunk")
-        .agg(F.collect_list(F.struct("bucket", "verdict")).alias("verdicts"))
+        .agg(F.collect_list(F.struct("bucket", "several")).alias("answers"))
     )
 
-    def answer(batches):
+    def send(batches):
         for pdf in batches:
-            for chunk, payload, verdicts in zip(pdf["chunk"], pdf["payload"], pdf["verdicts"], strict=True):
-                scan, out = _Scan(payload, width, hot, buckets), []
-                by = {v["bucket"]: v["verdict"] for v in verdicts}
-                verdict = scan.later.astype(np.uint8)
-                for bucket, at in scan.by_bucket(~scan.later):
-                    verdict[at] = _unpack(by[bucket])[0]
-                gone = verdict == 1
+            for chunk, payload, answers in zip(pdf["chunk"], pdf["payload"], pdf["answers"], strict=True):
+                scan = _Scan(payload, width, hot, buckets)
+                keys, _, of = scan.anchors()
+                by, several = {v["bucket"]: v["several"] for v in answers}, np.zeros(len(keys) + 1, bool)
+                bucket = (keys >> np.uint64(32)).astype(np.int64)
+                edges = np.flatnonzero(np.r_[True, np.diff(bucket) > 0]) if len(bucket) else []
+                for a, b in zip(edges, [*edges[1:], len(bucket)], strict=False):
+                    several[a:b] = np.unpackbits(np.frombuffer(by[int(bucket[a])], np.uint8), count=b - a)
                 n = (scan.end - scan.start - width).astype(np.uint8)
-                out.append((-1, chunk, _pack(scan.start[gone].astype(np.uint32), n[gone])))
-                for bucket, at in scan.by_bucket(verdict == 2):
-                    start, end = scan.start[at], scan.end[at]
-                    out.append(
-                        (bucket, chunk, _pack(scan.ids[scan.doc[at]], start, n[at], _gather(scan.data, start, end)))
-                    )
+                out = [(-1, chunk, _pack(scan.start[scan.later].astype(np.uint32), n[scan.later]))]
+                for bucket, at in scan.by_bucket(several[of]):
+                    bytes_ = _gather(scan.data, scan.start[at], scan.end[at])
+                    out.append((bucket, chunk, _pack(scan.ids[scan.doc[at]], scan.start[at].astype(np.uint32), n[at], bytes_)))
                 yield pd.DataFrame(out, columns=["bucket", "chunk", "payload"])
 
-    asked = chunks.join(verdicts, "chunk").mapInPandas(answer, "bucket int, chunk long, payload binary")
+    # a chunk without stretches asks nothing and so has no answer
+    asked = chunks.join(answers, "chunk").mapInPandas(send, "bucket int, chunk long, payload binary")
     asked = settle(asked, "passages")
     searched = asked.filter("bucket >= 0").groupBy("bucket").applyInPandas(
         lambda pdf: _passages(pdf, width), "chunk long, found binary"

@@ -3,6 +3,7 @@ repeated rows and clashing column names."""
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import time
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from gridloom.llm import covertree, html_text, idfile, packing, sharding, simhash
+from gridloom.llm import covertree, html_text, idfile, linededup, packing, sharding, simhash
 from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.linededup import dedup_lines
 from gridloom.llm.quality import fit, keep_quality, score_quality
@@ -190,6 +191,15 @@ def test_quality_odd_rows(spark, odd, nothing, small):
     assert score_quality(small[0], labels).count() == len(small[1])
 
 
+def test_conflicting_labels_give_the_same_scores(spark, given):
+    """Labels and rows of one id in any order."""
+    df, rows = given
+    labels = [(i, k) for i, _ in rows[:80] for k in ((i % 2, 1 - i % 2) if i % 3 else (i % 2,))]
+    shape = lambda lab, d: sorted((r["doc_id"], r["score"]) for r in score_quality(d, spark.createDataFrame(lab, "doc_id long, quality int").repartition(3)).collect())
+    twice = df.unionByName(df.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert shape(labels, twice) == shape(labels[::-1], twice.repartition(5))
+
+
 def test_trees_separate():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 4))
@@ -309,8 +319,6 @@ def test_html_odd_tags():
 
 def test_passages(docs):
     df, rows = docs
-    rows = [(i, t) for i, t in rows if len(t or "") < 100_000]
-    df = df.filter("text is null or length(text) < 100000")
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_passages(df).collect()}
     assert found == brute.passages_removed(rows)
 
@@ -342,8 +350,6 @@ def _simhash_expected(rows, budget=4):
 
 def test_near_duplicates(docs):
     df, rows = docs
-    rows = [(i, t) for i, t in rows if len(t or "") < 100_000]
-    df = df.filter("text is null or length(text) < 100000")
     found = sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert found == _simhash_expected(rows)
 
@@ -388,7 +394,8 @@ def test_near_duplicates_by_similarity_lose_no_link_of_a_dense_group(spark, monk
     real = simhash.fingerprints
 
     def dense(*args, **kw):  # all in a few fingerprints near each other
-        return real(*args, **kw).withColumn("fp", F.pmod("fp", F.lit(4)))
+        found = real(*args, **kw).withColumn("fp", F.pmod("fp", F.lit(4)))
+        return found.withColumn("prints", F.transform("prints", lambda x: F.pmod(x, F.lit(4))))
 
     monkeypatch.setattr(simhash, "fingerprints", dense)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -464,8 +471,6 @@ def test_top_k_ties_and_odd_rows(spark, monkeypatch):
 
 def test_contaminated(spark, docs):
     df, rows = docs
-    rows = [(i, t) for i, t in rows if len(t or "") < 100_000]
-    df = df.filter("text is null or length(text) < 100000")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bench += [(9001, " ".join((rows[2][1] or "a").split()[:40])), (9002, None), (9003, ""), (9004, "three words here"), (None, "a b c d e f")]
     bench += [(9005, "w3"), (9006, "The"), (9007, " ".join((rows[2][1] or "a").split()[3:6])), (9008, "été"), (9009, ". - !")]
@@ -510,6 +515,16 @@ def test_shards(docs):
     assert again == {i: r["shard"] for i, r in found.items()}
 
 
+def test_shards_are_those_of_plain_rendezvous(spark):
+    """The highest weighted draw of each id's shards, drawn by the hash that the column functions use."""
+    n, ids = 7, spark.range(400).withColumnRenamed("id", "doc_id")
+    weights = [1.0, 2.0, 1.0, 4.0, 0.5, 1.0, 1.0]
+    hashes = (F.xxhash64("doc_id", F.lit(k)).alias(f"h{k}") for k in range(n))
+    for r in ids.select("doc_id", *hashes, sharding.rendezvous_shard(F.col("doc_id"), weights).alias("s")).collect():
+        scores = [math.log((((r[f"h{k}"] % 2**64) >> 11) + 0.5) / 2**53) / weights[k] for k in range(n)]
+        assert r["s"] == scores.index(max(scores))
+
+
 def test_shards_follow_weights_and_move_little(spark):
     ids = spark.range(40_000).withColumnRenamed("id", "doc_id")
     weights = [1.0, 2.0, 4.0, 1.0]
@@ -547,6 +562,39 @@ def test_lines(docs):
     assert found == _lines_expected(rows)
 
 
+def test_lines_of_long_texts(spark):
+    rng = random.Random(13)
+    line = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    long = [line(60) for _ in range(600)]
+    near = [x.replace(" v1", " w1", 2) if k % 3 else x for k, x in enumerate(long)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(near[::-1])), (3, line(40_000)), (4, "y" * 150_000), (5, "y" * 150_000 + "\n" + long[5])]
+    assert all(len(t) > 100_000 for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, dedup_lines(df).select("doc_id", "text", "n_lines", "n_removed").collect()))
+    assert found == _lines_expected(rows)
+
+
+def test_lines_of_a_frequent_word_in_blocks(spark, monkeypatch):
+    """Lines that share all words but one, of which more are posted than a block takes."""
+    monkeypatch.setattr(linededup, "BLOCK", 40)
+    monkeypatch.setattr(linededup, "LARGE", 8)
+    rng = random.Random(14)
+    rows = [(i, "\n".join(" ".join([*(f"c{k}" for k in range(rng.choice([2, 3, 9, 12]))), f"u{rng.randrange(40)}"]) for _ in range(3))) for i in range(120)]
+    found = sorted(map(tuple, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), chunk=300).select("doc_id", "text", "n_lines", "n_removed").collect()))
+    assert found == _lines_expected(rows)
+
+
+def test_lines_and_stage_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c\nd e f", "x", 7, 8, 0, None), (2, "a b c\ng", None, 7, 8, 0, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_removed int, n_lines int, uid long, n_chars int")
+    assert sorted(map(tuple, dedup_lines(df).collect())) == [(1, "a b c\nd e f", 2, 0), (2, "g", 2, 1)]
+    found = dict(corpus_pipeline.STAGES)["line_dedup"](spark, df, SF)
+    assert found.columns == df.columns
+    assert sorted(map(tuple, found.collect())) == [(1, "a b c\nd e f", "x", 7, 8, 0, 11), (2, "g", None, 7, 8, 0, 1)]
+
+
 def test_lines_that_are_nearly_alike(spark):
     rng = random.Random(9)
     rows = []
