@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle
+from gridloom.llm.common import discard, scratch, settle
 from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.linededup import lines_removed
 from gridloom.llm.packing import pack_documents
@@ -78,6 +78,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = settle(stage(spark, docs, sf_dir), name)
+            keep(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,6 +78,15 @@ def discard(*tables: DataFrame) -> None:
         _delete(df._settled)
 
 
+@contextmanager
+def scratch():
+    """Delete what is settled inside, at the end, but for the tables that are given to the function it hands out."""
+    before, kept = set(_written), set()
+    yield lambda df: kept.add(df._settled)
+    for path in set(_written) - before - kept:
+        _delete(path)
+
+
 def deleted_at_end(spark: SparkSession, path: str) -> None:
     """Have a folder that was written otherwise deleted when the driver ends."""
     _written[path] = (spark, None)

@@ -14,7 +14,7 @@ from gridloom.llm.tokens import text_ids
 
 #: Pieces of one packing problem; a problem is dealt by hash, so all have about this size at any corpus size.
 PROBLEM_PIECES = 2048
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 3, 3, 8, 24
+ISLANDS, EPOCHS, POPULATION, OFFSPRING = 3, 3, 8, 16
 #: Least filled bins of each problem whose pieces are packed anew, together with those of other problems.
 LOOSE = 8
 #: How far each island's first packings stray from descending order.
