@@ -41,7 +41,7 @@ def test_nearest_equals_full_sort_with_ties(spark):
     points = [(i, float(rng.randrange(12)), float(rng.randrange(12))) for i in range(300)]
     queries = [(q, rng.uniform(-3, 15), float(rng.randrange(12)), 1 + q % 6) for q in range(25)]
     found = rtree.nearest(
-        spark.createDataFrame(queries, "qid long, x double, y double, k long"), spark.createDataFrame(points, "id long, x double, y double"), grid=4
+        spark.createDataFrame(queries, "qid long, x double, y double, k long"), spark.createDataFrame(points, "id long, x double, y double")
     ).collect()
     for q, x, y, k in queries:
         want = sorted(((px - x) * (px - x) + (py - y) * (py - y), i) for i, px, py in points)[:k]
